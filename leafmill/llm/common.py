@@ -92,17 +92,12 @@ def range_ids(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
     cuts = sorted({int(c) for c in cuts})
     if not cuts:
         return df.withColumn(name, F.lit(0).cast("long"))
-    # ranges by halving: log2(parts) comparisons a row, all in generated code
-    def below(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo).cast("long")
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) <= F.lit(cuts[mid]), below(lo, mid)).otherwise(below(mid + 1, hi))
-
-    if len(cuts) <= 64:
-        return df.withColumn(name, F.when(F.col(key).isNull(), F.lit(0).cast("long")).otherwise(below(0, len(cuts))))
-    at = F.array(*[F.lit(c) for c in cuts])
-    return df.withColumn(name, F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.size(F.filter(at, lambda c: c < F.col(key)))).cast("long"))
+    known = F.coalesce(F.col(key), F.lit(-(1 << 63)))
+    # the cuts below the key: those of the coarse ones, then those of one block
+    block = max(1, round(len(cuts) ** 0.5))
+    coarse, at = F.array(*[F.lit(c) for c in cuts[::block]]), F.array(*[F.lit(c) for c in cuts])
+    first = F.greatest(F.size(F.filter(coarse, lambda c: c < known)) - 1, F.lit(0)) * block
+    return df.withColumn(name, (first + F.size(F.filter(F.slice(at, first + 1, F.lit(block)), lambda c: c < known))).cast("long"))
 
 
 def hot_keys(df: DataFrame, key: str, share: int = 200) -> list:

@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.llm import urls
+from leafmill.llm.fingerprints import op10_edit_fingerprints
+from leafmill.llm.packing import op1_best_fit_packing
+from leafmill.llm.sharding import op2_min_cost_flow_sharding
 from leafmill.llm.token_store import op6_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_min_cost_flow_sharding": op2_min_cost_flow_sharding,
     "op6_token_store": op6_token_store,
+    "op9_url_rules": urls.op9_url_rules,
+    "op10_edit_fingerprints": op10_edit_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_url_rules": urls.ORACLE,
+}

@@ -138,7 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
     chunks = staged.where("digest is not null").select("digest", "n", "data")
     stored_at(chunks.repartition(partitions(spark), "digest").mapInArrow(_first_of_each, "digest binary, n int, data binary"), f"{path}/chunks")
     found = staged.where("digest is null").select("doc_id", "n_tokens", "root", "digests", "lengths")
-    ordered = running_total(found, "doc_id", "n_tokens", "start", ["root"], "part")
+    ordered = running_total(found, "doc_id", "n_tokens", "start", ["root"], range_name="part")
     recipes = stored_at(ordered.select("part", "doc_id", "start", "n_tokens", "root", "digests", "lengths"), f"{path}/recipes")
     roots = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x.root)), "")
     parts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(roots, 256).alias("root"))
