@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leafmill.llm import urls
 from leafmill.llm.bpe import op3_byte_bpe
 from leafmill.llm.fingerprints import op10_edit_fingerprints
+from leafmill.llm.neighbours import op5_ivf_pq_search
 from leafmill.llm.packing import op1_best_fit_packing
 from leafmill.llm.quality import op8_rule_quality
 from leafmill.llm.sharding import op2_min_cost_flow_sharding
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_min_cost_flow_sharding": op2_min_cost_flow_sharding,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_ivf_pq_search": op5_ivf_pq_search,
     "op6_token_store": op6_token_store,
     "op8_rule_quality": op8_rule_quality,
     "op9_url_rules": urls.op9_url_rules,
