@@ -65,9 +65,17 @@ def rolling(ids: np.ndarray) -> np.ndarray:
 
 def cut(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one document's ids; they depend on its ids alone."""
-    ends, begin, n = [], 0, len(ids)
+    return ends_of(len(ids), np.flatnonzero(rolling(ids) & MASK == 0).tolist())
+
+
+def ends_of(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of n ids; marks: where the rolling hash says to cut.
+
+    Marks among the first LEAST ids, where the hash may see the document before, don't count.
+    """
+    ends, begin = [], 0
     if n > LEAST:
-        for i in np.flatnonzero(rolling(ids) & MASK == 0).tolist():
+        for i in marks:
             while i + 1 - begin > MOST:
                 begin += MOST
                 ends.append(begin)
@@ -93,9 +101,14 @@ def _stage(tokenizer: str, end_id: int | None, width: int):
                 part = batch.slice(at, 512)
                 docs, chunks = [], []
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(texts)):
-                    ids = np.concatenate([ids, end]).astype(kind)
-                    ends = cut(ids)
+                found = [x for ids in enc.encode(texts) for x in (ids, end)]
+                every = np.concatenate(found)
+                marks = np.flatnonzero(rolling(every) & MASK == 0)
+                every, upto = every.astype(kind), np.cumsum([len(x) for x in found])[1::2].tolist()
+                cuts = np.searchsorted(marks, [0, *upto]).tolist()
+                for k, (doc_id, begin, stop) in enumerate(zip(part.column(0).to_pylist(), [0, *upto], upto)):
+                    ids = every[begin:stop]
+                    ends = ends_of(len(ids), (marks[cuts[k] : cuts[k + 1]] - begin).tolist())
                     digests = []
                     for a, b in zip([0, *ends], ends):
                         data = ids[a:b].tobytes()

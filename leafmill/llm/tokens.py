@@ -17,8 +17,9 @@ import re
 
 import numpy as np
 
-FAST_BELOW = 0x300
-_SLOW = re.compile(f"[^\\x01-\\x1b\\x20-{chr(FAST_BELOW - 1)}]")
+FAST_BELOW = 0x100
+#: White space for Python, but not for the library's patterns.
+_ODD = b"\x1c\x1d\x1e\x1f"
 _ENCODERS: dict = {}
 END = b"\xff"
 
@@ -30,6 +31,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def fast(text: str, words: bool = False) -> bool:
+    """Whether text has only code points below FAST_BELOW and, if words are split by Python, no odd white space."""
+    try:
+        plain = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not words or len(plain.translate(None, _ODD)) == len(plain)
+
+
 class ByteEncoder:
     """Byte-level vocabularies: white space is part of the pieces (byte_bpe)."""
 
@@ -50,7 +60,7 @@ class ByteEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         quick = self.quick._core_bpe
-        return [self.library(t) if _SLOW.search(t) else np.frombuffer(quick.encode_to_tiktoken_buffer(t, set()), "<u4") for t in texts]
+        return [np.frombuffer(quick.encode_to_tiktoken_buffer(t, set()), "<u4") if fast(t) else self.library(t) for t in texts]
 
 
 class WordEncoder:
@@ -101,7 +111,7 @@ class WordEncoder:
         self.known.update(zip(words, [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [None if _SLOW.search(t) else t.split() for t in texts]
+        cuts = [t.split() if fast(t, True) else None for t in texts]
         new = {w for c in cuts if c for w in c}.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known.clear()
