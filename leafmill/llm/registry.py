@@ -13,12 +13,14 @@ from leafmill.llm.neighbours import op5_ivf_pq_search
 from leafmill.llm.packing import op1_best_fit_packing
 from leafmill.llm.quality import op8_rule_quality
 from leafmill.llm.sharding import op2_min_cost_flow_sharding
+from leafmill.llm.substrings import op4_repeated_passages
 from leafmill.llm.token_store import op6_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_min_cost_flow_sharding": op2_min_cost_flow_sharding,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_ivf_pq_search": op5_ivf_pq_search,
     "op6_token_store": op6_token_store,
     "op8_rule_quality": op8_rule_quality,
