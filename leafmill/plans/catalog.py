@@ -1,5 +1,13 @@
-"""The catalog of queries."""
+"""The catalog of queries on the supplied tables."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from leafmill.plans import texts
+
+FLAGSHIP = "greedy_pack_1200"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**texts.QUERIES}
+ORACLES: dict[str, str] = {**texts.ORACLES}
