@@ -55,7 +55,8 @@ def retry_delay(header: Column, attempt: Column, now: Column) -> Column:
     """
     until = (F.unix_timestamp(http_date(header)) - F.unix_timestamp(now)).cast("double")
     given = F.coalesce(header.try_cast("double"), until)
-    return F.coalesce(F.least(F.lit(60.0), F.greatest(F.lit(0.0), given)), F.least(F.lit(30.0), F.pow(F.lit(2.0), attempt)))
+    own = F.least(F.lit(30.0), F.pow(F.lit(2.0), attempt))
+    return F.when(given.isNotNull(), F.least(F.lit(60.0), F.greatest(F.lit(0.0), given))).otherwise(own)
 
 
 def backoff(attempts: Column, retry_after: Column) -> Column:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import texts
+from leafmill.plans import tables, texts
 
 FLAGSHIP = "greedy_pack_1200"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**texts.QUERIES}
-ORACLES: dict[str, str] = {**texts.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**texts.QUERIES, **tables.QUERIES}
+ORACLES: dict[str, str] = {**texts.ORACLES, **tables.ORACLES}
