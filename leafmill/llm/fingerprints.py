@@ -28,7 +28,7 @@ from leafmill.llm.common import range_ids, ship, store
 #: Random bits repeat after PERIOD steps; code points count by 8 bits of a hash.
 PERIOD, GRAM, LEAST_STEPS, MOST_SAMPLES, PAD = 4096, 4, 64, 512, 64
 #: Code points that are walked at once, and about how much a sorted range of documents holds.
-BATCH_CHARS, RANGE_CHARS, MOST_RANGES = 4_000_000, 16_000_000, 10_000
+BATCH_CHARS, RANGE_CHARS, MOST_RANGES, TASK_RANGES = 4_000_000, 4_000_000, 10_000, 4
 _random = np.random.Generator(np.random.PCG64(20_250_117))
 MOVES = _random.integers(0, 2, (PERIOD, 256), np.uint8).astype(np.int32)
 NONE = 255
@@ -206,7 +206,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.join(to, "_key", "left").withColumn("_wraps", F.col("_to") >= F.col("_range"))
     places = F.filter(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("t")), F.struct(F.col("_to").alias("r"), F.lit(True).alias("t"))), lambda p: p.r.isNotNull())
     rows = rows.select("_key", "doc_id", "text", F.explode(places).alias("p")).select(F.col("p.r").alias("range"), F.col("p.t").alias("tail"), "doc_id", "text", "_key")
-    rows = rows.repartition(max(parts, 1), "range").sortWithinPartitions("range", "tail", "_key", "text")
+    rows = rows.repartition(parts // TASK_RANGES + 8, "range").sortWithinPartitions("range", "tail", "_key", "text")
     return rows.select("range", "tail", "doc_id", "text").mapInArrow(_in_order, RESULT)
 
 
