@@ -28,7 +28,7 @@ SPACE, OTHER_SPACE, RUN_SPACE, LETTER, NUMBER, SIGN, QUOTE, SINGLE, PAIRED, BREA
 # States: a piece is over; the space before a piece; in white space, letters, numbers, signs; a quote began a piece;
 # it and the first of a pair.
 OVER, BEFORE, IN_SPACE, IN_LETTERS, IN_NUMBERS, IN_SIGNS, QUOTED, HALF = range(8)
-BLOCKS, BATCH_CHARS, MOST_PIECES = 8192, 4_000_000, 400_000
+BLOCKS, BATCH_ROWS, BATCH_CHARS, MOST_PIECES = 8192, 512, 1_000_000, 400_000
 
 
 def automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +155,8 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """For each text its ids, little-endian unsigned 32-bit integers, and the pieces' offsets in its bytes."""
+        if not texts:
+            return []
         data, bounds, upto = self.pieces(texts)
         cut = bounds.tolist()
         slices, known = [data[a:b] for a, b in zip(cut, cut[1:])], self.known
@@ -237,30 +239,35 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def _encoded(path: str, offsets: bool):
+def _encoded(path: str, offsets: bool, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in _parts(texts):
-                found = bpe.encode(texts[begin:end])
-                columns = [batch.column(0).slice(begin, end - begin), pa.array([len(ids) // 4 for ids, _ in found], pa.int64()), pa.array([ids for ids, _ in found], pa.binary())]
-                if offsets:
-                    columns.append(pa.array([at.astype("<u8").tobytes() for _, at in found], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "offsets"][: len(columns)])
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                rows = batch.slice(at, BATCH_ROWS)
+                texts = [t or "" for t in rows.column(1).to_pylist()]
+                for begin, end in _parts(texts):
+                    found = bpe.encode(texts[begin:end])
+                    columns = {"doc_id": rows.column(0).slice(begin, end - begin), "n_tokens": pa.array([len(ids) // 4 for ids, _ in found], pa.int64()), "ids": pa.array([ids for ids, _ in found], pa.binary())}
+                    if offsets:
+                        columns["offsets"] = pa.array([o.astype("<u8").tobytes() for _, o in found], pa.binary())
+                    if decoded:
+                        columns["decoded"] = pa.array([bpe.decode(np.frombuffer(ids, "<u4")) for ids, _ in found], pa.binary())
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, offsets: bool = True, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit integers) of each row of docs.
 
     docs: doc_id, text (null: empty); other columns are not read. offsets: with
     the pieces' offsets in the text's UTF-8 bytes (binary, 64-bit integers).
+    decoded: with what the ids decode to, as decode() gives it.
     """
     ship(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids binary" + ", offsets binary" * offsets
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(path, offsets), schema)
+    schema = "doc_id long, n_tokens long, ids binary" + ", offsets binary" * offsets + ", decoded binary" * decoded
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(path, offsets, decoded), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -282,7 +289,5 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and what they decode to, as digests."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, offsets=False)
-    lean = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode(lean, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), offsets=False, decoded=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
