@@ -152,3 +152,15 @@ def utf8_prefix(c: Column | str, n_bytes: int) -> Column:
 
     inside = [F.when((F.octet_length(column(c)) <= n_bytes) | byte_after(k).isNull() | ~byte_after(k).between(0x80, 0xBF), F.lit(k)) for k in range(4)]
     return F.decode(F.substring(data, F.lit(1), F.lit(n_bytes) - F.coalesce(*inside)), "UTF-8")
+
+
+def link_label(c: Column | str) -> Column:
+    """The label that a link's description names, such as 3 of "Footnote 3"; null if it names none."""
+    own = F.regexp_extract(strip(c), r"(?iu)^(?:Footnote|Poznámka|Fußnote)\s+(\d{1,3}|[*†‡§]+|[A-Za-z]{1,8})$", 1)
+    return F.nullif(own, F.lit(""))
+
+
+def entries_json(entries: Column) -> Column:
+    """A JSON object of ids to texts, in order, for a model to answer; entries: an array of id, text."""
+    one = F.transform(entries, lambda e: F.concat(F.regexp_extract(F.to_json(F.struct(e.id.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(": "), F.regexp_extract(F.to_json(F.struct(e.text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)))
+    return F.concat(F.lit("{"), F.array_join(one, ", "), F.lit("}"))

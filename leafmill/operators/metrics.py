@@ -72,3 +72,20 @@ def repeated_margins(lines: DataFrame) -> DataFrame:
     counts = keyed.where(~note).groupBy("book", "key").agg(F.countDistinct("page_no").alias("n"))
     pages = lines.groupBy("book").agg(F.countDistinct("page_no").alias("pages"))
     return counts.join(pages, "book").where("n >= greatest(3, pages * 0.15D)").select("book", "key", "n")
+
+
+def body_sizes(glyphs: DataFrame, *keys: str) -> DataFrame:
+    """keys, body_size: the commonest rounded size of glyphs (keys, ord, text, size) that show; of equal ones the first seen."""
+    shown = glyphs.where(tx.strip("text") != "").withColumn("_s", F.bround("size", 1))
+    counts = shown.groupBy(*keys, "_s").agg(F.count("*").alias("_n"), F.min("ord").alias("_first"))
+    return counts.groupBy(*keys).agg(F.max_by("_s", F.struct("_n", -F.col("_first"))).alias("body_size"))
+
+
+def leading(lines: DataFrame, *keys: str) -> DataFrame:
+    """keys, leading, left_margin of lines (keys, ord, baseline, x0, body_size): median steps between lines, and left edges.
+
+    Steps count that go down by less than two lines; without any, 1.3 of the size.
+    """
+    step = F.col("baseline") - F.lag("baseline").over(Window.partitionBy(*keys).orderBy("ord"))
+    own = lines.withColumn("_step", step).withColumn("_step", F.when((F.col("_step") > 0) & (F.col("_step") < 2 * F.col("body_size")), F.col("_step")))
+    return own.groupBy(*keys).agg(F.coalesce(F.median("_step"), F.max("body_size") * 1.3).alias("leading"), F.median("x0").alias("left_margin"))

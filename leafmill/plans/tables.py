@@ -628,6 +628,50 @@ shown AS (SELECT ord, max(CASE WHEN pos = 0 THEN m END) AS m0, max(CASE WHEN pos
 SELECT s.ord, CASE WHEN good THEN md5({escaped.format("left(d.text, 40)")} || m0 || ' x ' || m1) END AS markup FROM shown s JOIN documents d ON d.doc_id = s.ord"""
 
 
+def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sign = F.when(F.col("event_type") == "error", F.lit(" ")).otherwise(F.lit("x"))
+    glyphs = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 20).alias("page"), F.col("event_id").alias("ord"), sign.alias("text"), F.floor(F.col("value") / 10).cast("double").alias("size"))
+    return metrics.body_sizes(glyphs, "page")
+
+
+BODY_SIZES = """
+WITH c AS (SELECT event_id // 20 AS page, CAST(floor(value / 10) AS DOUBLE) AS s, count(*) AS n, min(event_id) AS first FROM events WHERE event_type <> 'error' GROUP BY ALL)
+SELECT page, arg_max(s, (n, -first)) AS body_size FROM c GROUP BY page"""
+
+
+def line_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 20).alias("page"), F.col("event_id").alias("ord"), F.col("value").alias("baseline"), F.col("user_id").cast("double").alias("x0"), F.lit(10.0).alias("body_size"))
+    return metrics.leading(own, "page")
+
+
+LINE_LEADING = """
+WITH s AS (SELECT event_id // 20 AS page, CAST(user_id AS DOUBLE) AS x0, value - lag(value) OVER (PARTITION BY event_id // 20 ORDER BY event_id) AS step FROM events)
+SELECT page, coalesce(median(CASE WHEN step > 0 AND step < 20 THEN step END), 13.0) AS leading, median(x0) AS left_margin FROM s GROUP BY page"""
+
+
+def separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("page_no", F.floor(F.col("event_id") / 50))
+    rules = events.where("event_type = 'purchase'").select("page_no", F.col("value").alias("y"))
+    own = events.where("event_type = 'view'").select("page_no", F.col("event_id").alias("line_no"), F.col("value").alias("top"))
+    return placement.separator_between(own, rules)
+
+
+SEPARATORS = """
+WITH e AS (SELECT *, event_id // 50 AS page_no FROM events)
+SELECT r.page_no, r.value AS y, arg_min(l.event_id, (l.value, l.event_id)) AS line_no FROM e r JOIN e l ON l.page_no = r.page_no AND l.event_type = 'view' AND l.value > r.value
+WHERE r.event_type = 'purchase' GROUP BY r.page_no, r.value"""
+
+
+def link_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Footnote ", "poznámka ", "Page ", "Fußnote  ")]), (F.col("p_partkey") % 4 + 1).cast("int")), F.element_at(F.array(*[F.lit(x) for x in ("12", "iv", "**", "a long one")]), (F.col("p_size") % 4 + 1).cast("int")))
+    entry = F.array(F.struct(F.col("p_type").alias("id"), F.col("p_name").alias("text")), F.struct(F.lit("b").alias("id"), F.lit('q"').alias("text")))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.link_label(said).alias("label"), tx.entries_json(entry).alias("entries"))
+
+
+LINK_LABELS = r"""
+SELECT p_partkey, CASE WHEN p_partkey % 4 <> 2 AND p_size % 4 <> 3 THEN ['12', 'iv', '**'][p_size % 4 + 1] END AS label, '{"' || p_type || '": "' || p_name || '", "b": "q\""}' AS entries FROM part"""
+
+
 def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _boxes(spark, sf_dir, 50).select(F.lit("b").alias("book"), "page_no", "ord", "box.x0", "box.top", "box.x1", "box.bottom")
     return longs(layout.cluster_boxes(own))
@@ -696,6 +740,10 @@ _queries = dict(
     rejected_replies=(rejected_replies, "SELECT event_id AS id FROM events WHERE event_id % 6 IN (2, 3, 4)"),
     stable_ids=(id_formats, ID_FORMATS),
     marked_up_texts=(markup, _markup_sql()),
+    body_sizes=(body_sizes, BODY_SIZES),
+    line_leading=(line_leading, LINE_LEADING),
+    separator_lines=(separators, SEPARATORS),
+    link_labels=(link_labels, LINK_LABELS),
     box_clusters=(box_clusters, None),
     page_layout=(page_layout, None),
 )

@@ -55,6 +55,27 @@ def with_wav(sounds: DataFrame) -> DataFrame:
     return sounds.withColumn("content", content("frames", "sample_rate", "channels", "sample_width"))
 
 
+def stitch_wav(sounds: DataFrame, path: str, rate: int = 24_000, channels: int = 1, width: int = 2) -> int:
+    """Writes sounds (number, frames: binary) in order into one WAV file on the driver, a sound at a time; its frames.
+
+    One file of one book is one stream; it may not exceed what a WAV header can say.
+    """
+    total = sounds.agg(F.coalesce(F.sum(F.octet_length("frames")), F.lit(0))).first()[0]
+    if total > 0xFFFFFFFF - 36:
+        raise ValueError("the sound does not fit into a WAV file")
+    handle, name = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
+    try:
+        with os.fdopen(handle, "wb") as sink, wave.open(sink, "wb") as out:
+            out.setparams((channels, width, rate, total // (channels * width), "NONE", None))
+            for row in sounds.select("number", "frames").orderBy("number").toLocalIterator():
+                out.writeframesraw(row.frames)
+        os.replace(name, path)
+    except BaseException:
+        os.unlink(name)
+        raise
+    return total // (channels * width)
+
+
 def marked_up(texts: DataFrame, notes: DataFrame) -> DataFrame:
     """ord, id, markup of texts (ord, id, text): a note's body stands at its first anchor, references at later ones.
 

@@ -170,3 +170,21 @@ def test_document_of_parts(spark):
     assert {r.id: r.markup for r in own.collect()} == {"a": "One#footnote[body \\#]<note-n> \\*", "b": "#footnote(<note-n>)"}
     assert [r.markup for r in writers.unused_notes(texts, bodies).collect()] == ["2. free"]
     assert writers.document(own).first().text.startswith("One")
+
+
+def test_decoded_pages(spark):
+    from leafmill.ext import decoders
+    from leafmill.operators import layout
+
+    files = spark.createDataFrame([("j", bytearray(b"One line\ngoes on\fPage two"))], "job_id string, content binary")
+    found = layout.read_books(decoders.decoded_pages(files, decoders.plain_text)).orderBy("page_no").collect()
+    assert [json.loads(r.layout)["text"] for r in found] == ["One line goes on", "Page two"]
+
+
+def test_stitched_wav(spark, tmp_path):
+    import wave
+
+    sounds = spark.createDataFrame([(n, bytearray(bytes([n, 0]) * 10)) for n in (2, 0, 1)], "number int, frames binary")
+    assert writers.stitch_wav(sounds, str(tmp_path / "b.wav")) == 30
+    with wave.open(str(tmp_path / "b.wav")) as reader:
+        assert reader.readframes(99) == b"".join(bytes([n, 0]) * 10 for n in range(3))
