@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import shared_dir, ship, store
+from leafmill.llm.common import partitions, shared_dir, ship, store
 from leafmill.llm.words import Words, words_of
 
 WINDOW, GRAM, PERIOD, COVER = 13, 7, 7, (0, 1, 3)
@@ -268,7 +268,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(*kept)
     text_at, id_at = kept.index("text"), kept.index("doc_id")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, parts = int(size // BUCKET_BYTES) + 1, int(min(MOST_PARTS, size // TASK_BYTES + 8))
+    # with fewer parts than a shuffle has, a join would rather shuffle the blocks
+    buckets, parts = int(size // BUCKET_BYTES) + 1, int(min(MOST_PARTS, max(size // TASK_BYTES + 8, partitions(spark))))
 
     # blocks are dealt into a table's buckets by their number, so that they are read three times, but never shuffled
     name = f"leafmill_blocks_{uuid.uuid4().hex}"
