@@ -126,6 +126,7 @@ def _best_fit(left: np.ndarray, capacity: int, plan: Plan, put) -> None:  # noqa
             put(length, full * each, base, each, capacity - space)
             if count > full:
                 room[space].append((base + full, count - full))
+                at = min(at, space)
             if rest := space - each * length:
                 room[rest].append((base, full))
                 at = min(at, rest) if rest >= length else at
