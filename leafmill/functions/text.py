@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s+"
 #: Note anchors: the narrow form is for layout and overlay, the wide one for contracts and narration.
 NARROW_ANCHOR, WIDE_ANCHOR = r"(?U)\[\[FN:([\w.-]+)\]\]", r"\[\[FN:([^\]\s]+)\]\]"
-# Words that begin a chapter heading, quotation marks, and signs that markup escapes.
+# Words that begin a chapter heading, the forms of such headings, quotation marks, and signs that markup escapes.
 CHAPTER_WORDS = "chapter|kapitola|kapitel|chapitre|capitolo|cap[ií]tulo|глава|rozdzia[łl]|fejezet|hoofdstuk"
+CHAPTER_FORMS = rf"(?iuU)^(?:##\s+.+|(?:{CHAPTER_WORDS})\b[\s.:]*\w*.{{0,60}}|[IVXLC]+\.?|\d{{1,3}}\.?)$"
 QUOTES = "„“”\"'‘’«»"
 MARKUP_SIGNS = "\\#$*_`[]<>@~=/"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -73,14 +74,13 @@ def is_heading(c: Column | str) -> Column:
     p = strip(c)
     letters = F.regexp_replace(p, r"\P{L}", "")
     core = F.regexp_replace(p, f"^[{QUOTES} ]+|[{QUOTES} ]+$", "")
-    chapter = rf"(?iuU)^(?:##\s+.+|(?:{CHAPTER_WORDS})\b[\s.:]*\w*.{{0,60}}|[IVXLC]+\.?|\d{{1,3}}\.?)$"
     shouted = (F.length(letters) >= 2) & (F.length(p) <= 40) & letters.rlike(r"^\p{Lu}+$") & ~core.rlike(r"[.,!?:;]$")
     marked = ~F.substring(p, 4, 1 << 30).rlike("(?U)[!?]['’”\"]?\\s+\\S")
     return (
         F.when(F.length(p) > 80, F.lit(False))
         .when(p.startswith("## "), marked)
         .when(p.rlike(f"^[{QUOTES}]"), F.lit(False))
-        .otherwise(p.rlike(chapter) | shouted)
+        .otherwise(p.rlike(CHAPTER_FORMS) | shouted)
     )
 
 
