@@ -71,7 +71,7 @@ class WordEncoder:
     joins its neighbour before any other merge.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         import tiktoken
         from tokenizers import Tokenizer
 
