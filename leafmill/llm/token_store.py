@@ -32,7 +32,8 @@ from leafmill.llm.tokens import encoder
 
 DIGEST = 16
 #: A chunk ends where MASK bits of the rolling hash over WINDOW ids are zero: 256 ids on average.
-WINDOW, MASK, LEAST, MOST = 16, np.uint64(0xFF << 20), 64, 1024
+WINDOW, MASK, LEAST, MOST = 16, np.uint32(0xFF << 20), 64, 1024
+GEAR = np.random.Generator(np.random.PCG64(20_250_411)).integers(0, 1 << 32, 1 << 16, np.uint32)
 
 
 def digest(data: bytes) -> bytes:
@@ -49,16 +50,13 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
-    """The sum of g(ids[i - k]) << k over the last WINDOW ids, by doubling."""
+    """The sum of g(ids[i - k]) << k over the last WINDOW ids, by doubling; g is a table of random numbers."""
     with np.errstate(over="ignore"):
-        h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+        h = GEAR[(ids ^ (ids >> np.uint32(16))) & np.uint32(0xFFFF)]
         step = 1
         while step < WINDOW:
             more = h.copy()
-            more[step:] += h[:-step] << np.uint64(step)
+            more[step:] += h[:-step] << np.uint32(step)
             h, step = more, step * 2
     return h
 
