@@ -28,8 +28,9 @@ from leafmill.llm.common import ship, store
 #: The sample that the index is fitted to: the rows with the smallest hash of their id.
 SAMPLE, SAMPLE_QUERIES, RECALL = 20_000, 400, 0.975
 PARTS, CODES, MOST_LISTS, ROUNDS = 16, 256, 1024, 8
-#: Vectors in a block of a list, queries in a group, and vectors of a block that are scored exactly for a query.
-BLOCK, GROUP, RESCORED = 8192, 512, 64
+#: Vectors in a block of a list, queries in a group. Of a block, as many vectors as RESCORED are scored exactly for a
+#: query, and all whose approximate score is within MARGIN standard errors of the last of these.
+BLOCK, GROUP, RESCORED, MARGIN = 8192, 512, 64, 2.0
 EVERY, NEAREST = 20, 20
 
 
@@ -53,11 +54,15 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """centres: lists x dimensions; books: parts x CODES x dimensions of a part (zeros fill the last)."""
+    """centres: lists x dimensions; books: parts x CODES x dimensions of a part (zeros fill the last).
+
+    error: standard error of an approximate score, for a query of length 1.
+    """
 
     centres: np.ndarray
     books: np.ndarray
     probes: int
+    error: float = 0.0
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """x as vectors x parts x dimensions of a part."""
@@ -83,14 +88,17 @@ class Index:
 
 
 def fit(sample: np.ndarray, rows: int) -> Index:
-    """An index for so many rows, fitted to a sample of them."""
-    x = sample.astype(np.float32)
+    """An index for so many rows, fitted to a sample of them, in which equal vectors count once."""
+    x = np.unique(sample.astype(np.float32), axis=0)
     lists = int(min(MOST_LISTS, max(1, round(rows**0.5 / 4)), max(1, len(x) // 32)))
     centres = kmeans(x, lists, 1)
     width = -(-x.shape[1] // PARTS)
     index = Index(centres, np.zeros((PARTS, CODES, width), np.float32), lists)
     rest = index.split(x - centres[nearest(x, centres)])
     index.books = np.stack([kmeans(rest[:, m], CODES, 2 + m) for m in range(PARTS)])
+    codes = np.column_stack([nearest(rest[:, m], index.books[m]) for m in range(PARTS)])
+    lost = rest - np.stack([index.books[m][codes[:, m]] for m in range(PARTS)], 1)
+    index.error = float(np.sqrt((lost**2).sum((1, 2)).mean() / x.shape[1]))
     asked = x[:: max(1, len(x) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
     scores = asked @ x.T
     best = np.argpartition(-scores, min(NEAREST, len(x) - 1), axis=1)[:, : NEAREST + 1]
@@ -166,11 +174,12 @@ def _searched(index: Index, keep: int):
         codes = np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(entries), -1)
         q = np.frombuffer(b"".join(queries["vector"]), np.float32).reshape(len(queries), -1)
         near = index.approximate(q, int(entries["list"].iloc[0]), codes)
-        n = min(RESCORED, len(entries))
-        best = np.sort(np.argpartition(-near, n - 1, axis=1)[:, :n], axis=1)
-        exact = np.einsum("qnd,qd->qn", x[best], q.astype(np.float64))
-        order = np.argsort(-exact, axis=1, kind="stable")[:, :keep]  # ties: the smallest id, as entries are in that order
-        best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
+        n = min(max(RESCORED, keep), len(entries)) - 1
+        last = np.partition(-near, n, axis=1)[:, n]
+        close = near >= (-last - MARGIN * index.error * np.linalg.norm(q, axis=1))[:, None]
+        exact = np.where(close, q.astype(np.float64) @ x.T, -np.inf)
+        best = np.argsort(-exact, axis=1, kind="stable")[:, :keep]  # ties: the smallest id, as entries are in that order
+        exact = np.take_along_axis(exact, best, 1)
         ids = entries["ids"].to_numpy()
         return pd.DataFrame({"digest": np.repeat(queries["digest"].to_numpy(), best.shape[1]), "ids": [ids[k] for k in best.ravel()], "score": exact.ravel()})
 

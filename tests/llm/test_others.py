@@ -143,6 +143,15 @@ def test_search_with_a_common_vector(spark, monkeypatch):
     assert all(got[q] == want[q] or [i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want if q % 3 == 0)
 
 
+def test_search_among_nearly_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=16)
+    vectors = {k: (rng.normal(size=16) if k % 3 else middle + 0.01 * rng.normal(size=16)).astype(np.float32).tolist() for k in range(1500)}
+    got = found(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>"), 25, 10)
+    want = search_plain(vectors, 25, 10)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
 def test_op5_recall(spark, data):
     rows = spark.read.parquet(f"{data}/embeddings.parquet").collect()
     want = search_plain({r.vec_id: r.embedding for r in rows}, 20, 20)
