@@ -67,9 +67,11 @@ def repeated_margins(lines: DataFrame) -> DataFrame:
     least. Empty, long and purely numeric lines do not count, nor do footer lines
     that look like notes.
     """
-    keyed = lines.withColumn("key", tx.margin_key("text")).where("key <> '' and key <> '#' and length(key) <= 120")
     note = (F.col("region") == "footer") & F.col("text").rlike(r"^\s*(?:\d{1,3}|[*†‡§]+)[.)]?\s*\D")
-    counts = keyed.where(~note).groupBy("book", "key").agg(F.countDistinct("page_no").alias("n"))
+    keyed = lines.where(~note).select("book", "page_no", tx.margin_key("text").alias("key"))
+    # the keys are sifted after they are counted: a filter on them would be pushed down and fold each line again
+    counts = keyed.groupBy("book", "key").agg(F.countDistinct("page_no").alias("n"), F.max("key").alias("_k"))
+    counts = counts.where("_k <> '' and _k <> '#' and length(_k) <= 120")
     pages = lines.groupBy("book").agg(F.countDistinct("page_no").alias("pages"))
     return counts.join(pages, "book").where("n >= greatest(3, pages * 0.15D)").select("book", "key", "n")
 

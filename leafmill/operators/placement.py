@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as geo
 from leafmill.functions import ids
+from leafmill.operators import asof
 
 SAME_NOTE, SAME_FIGURE = 0.8, 0.75
 
@@ -25,14 +26,13 @@ def place_images(images: DataFrame, paragraphs: DataFrame, units: DataFrame) ->
         F.max_by(F.when(above, F.col("id")), F.when(above, F.col("ord"))).alias("above"),
         F.min_by("id", "ord").alias("first"),
     )
-    # nearest earlier and next pages come from windows over the few distinct pages, not from a range join
+    # nearest earlier and next pages come from a row for each page, not from a range join
     starts = paragraphs.groupBy(F.col("first_page").alias("page_no")).agg(F.max_by("id", "ord").alias("last_id"))
     nexts = units.groupBy("page_no").agg(F.min_by(F.struct("id", "kind"), "ord").alias("unit"))
     pages = images.select("page_no").distinct().unionByName(starts.select("page_no")).unionByName(nexts.select("page_no")).distinct()
     pages = pages.join(starts, "page_no", "left").join(nexts, "page_no", "left")
-    before = Window.orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("page_no").rowsBetween(0, Window.unboundedFollowing)
-    around = pages.select("page_no", F.last("last_id", ignorenulls=True).over(before).alias("earlier"), F.first("unit", ignorenulls=True).over(after).alias("next"))
+    around = asof.nearest(asof.nearest(pages, "page_no", "last_id", "earlier"), "page_no", "unit", "next", after=True, itself=True)
+    around = around.select("page_no", "earlier", "next")
     out = images.join(on_page, "image_id", "left").join(around, "page_no", "left")
     placement = (
         F.when(F.col("above").isNotNull(), F.lit("after_paragraph")).when(F.col("first").isNotNull(), F.lit("before_paragraph"))
