@@ -52,17 +52,14 @@ def ship(spark: SparkSession) -> None:
     sc._leafmill_shipped = True
 
 
-def store(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
+def store(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet into the shared folder and returns the written table."""
-    return stored_at(df, f"{shared_dir(df.sparkSession)}/leafmill/{uuid.uuid4().hex}-{name}", partition_by)
+    return stored_at(df, f"{shared_dir(df.sparkSession)}/leafmill/{uuid.uuid4().hex}-{name}")
 
 
-def stored_at(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet at path and returns the written table."""
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     # nullability is not kept by files; the schema saves a job that would infer it and lets a table be empty
     return df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
 
@@ -100,12 +97,5 @@ def range_ids(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
     return df.withColumn(name, (first + F.size(F.filter(F.slice(at, first + 1, F.lit(block)), lambda c: c < known))).cast("long"))
 
 
-def hot_keys(df: DataFrame, key: str, share: int = 200) -> list:
-    """The keys that hold more than one share-th of df's rows: fewer than share of them."""
-    counts = df.groupBy(key).count()
-    total = df.count()
-    return [r[0] for r in counts.where(F.col("count") > max(1000, total // share)).select(key).collect()]
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
