@@ -3,7 +3,7 @@
 A document's set is its distinct runs of `words` words. A signature has SYMBOLS
 symbols of 16 bits, the low bits of minima under as many hash functions; two sets
 of similarity s agree in each symbol with probability s, so those of 0.8 or more
-differ in more than REACH symbols less than once in some hundred thousand pairs.
+differ in more than REACH symbols less than once in ten million pairs.
 Signatures are split into CHUNKS chunks. By the pigeonhole principle two of them
 that differ in REACH symbols or fewer have a chunk with one difference at most, so
 they agree in one of the keys that leave out one symbol of a chunk: all pairs
@@ -33,7 +33,7 @@ from leafmill.llm.substrings import _once, _shared, pack_bits, pack_sorted, unpa
 from leafmill.llm.words import mixed, words_of
 
 WORDS, PERCENT = 4, 80
-SYMBOLS, CHUNKS = 128, 24
+SYMBOLS, CHUNKS = 128, 26
 #: Two differences would be needed in every chunk to miss a pair.
 REACH = 2 * CHUNKS - 1
 #: Text bytes that are hashed at once; signatures of a block; keys that a bucket compares.
