@@ -1,6 +1,7 @@
 """Sharding, vectors, quality, URLs, shared helpers and the pipeline."""
 
 import itertools
+import os
 import random
 
 import numpy as np
@@ -40,8 +41,11 @@ def test_ranges_rise_with_the_key(spark):
 def test_stored_tables(spark):
     assert common.store(spark.createDataFrame([], "a int, b string")).count() == 0
     kept = common.store(spark.range(3), "x")
-    assert kept.count() == 3 and kept.inputFiles()[0].startswith(common.shared_dir(spark))
+    assert kept.count() == 3
+    own = kept.inputFiles()[0].split("://")[-1].lstrip("/")
+    assert own.startswith(common.shared_dir(spark).split("://")[-1].strip("/"))
     common.drop_stored(kept)
+    assert not os.path.exists("/" + own)
 
 
 def test_flow():
