@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared folder, stored tables, shipping of this package.
+"""What the corpus operators share: the shared folder, stored tables, ranges of a key.
 
 Intermediate results are cut off with tables in the shared folder that
 ``spark.checkpoint.dir`` names, never with blocks of one executor, so that the
@@ -7,17 +7,16 @@ loss of an executor costs a few tasks only.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PACKAGE = Path(__file__).resolve().parent.parent
+from leafmill.shipping import ship
+
+__all__ = ["drop_stored", "partitions", "range_ids", "shared_dir", "ship", "store", "stored_at"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,20 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_leafmill_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="leafmill-")
-    name = os.path.join(folder, "leafmill-src.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(PACKAGE.parent))
-    sc.addPyFile(name)
-    sc._leafmill_shipped = True
-
-
 def store(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet into the shared folder and returns the written table."""
     return stored_at(df, f"{shared_dir(df.sparkSession)}/leafmill/{uuid.uuid4().hex}-{name}")
