@@ -127,7 +127,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = segment.paragraphs(_blocks(spark, sf_dir).where("length(text) <= 5000"))
+    found = segment.paragraphs(_blocks(spark, sf_dir))
     return longs(found.select("book", "chapter_no", "number", "id", md5("text").alias("text"), "source_page", F.size("source_pages").alias("n_pages")))
 
 
