@@ -382,7 +382,7 @@ SELECT doc_id AS id FROM documents WHERE doc_id % 10 = 7 AND doc_id NOT IN (SELE
 
 
 def changed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.left("text", F.lit(200)).alias("text"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     return overlay.changed(docs, docs.select("id", F.replace("text", F.lit("ing"), F.lit("in")).alias("text"))).select("id", md5("text").alias("text"))
 
 

@@ -40,3 +40,9 @@ def test_book_paragraphs_of_long_lines(spark, data, small):
     sql = whole("book_paragraphs", (" WHERE length(text) <= 5000", ""))
     assert against(spark, small, "book_paragraphs", sql) > 0
     assert against(spark, data, "book_paragraphs", sql) > 0
+
+
+def test_changes_behind_the_first_characters(spark, data, small):
+    sql = whole("changed_texts", ("left(text, 200)", "text"))
+    assert against(spark, small, "changed_texts", sql) == 3
+    assert against(spark, data, "changed_texts", sql) > 0
