@@ -46,10 +46,10 @@ def source_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lines(documents(spark, sf_dir))
-    short = own.select(F.left("line", F.lit(36)).alias("text")).unionByName(own.select(F.upper(F.replace(F.left("line", F.lit(24)), F.lit("ß"), F.lit("ss"))).alias("text"))).unionByName(own.select(F.concat(F.lit("## "), "line").alias("text")))
-    named = own.where("ord < 3").select(F.concat(F.lit("Chapter "), (F.col("ord") + 1).cast("string")).alias("text")).unionByName(own.where("ord < 200").select((F.col("ord") + 1).cast("string").alias("text")))
+    whole = own.select(F.col("line").alias("text")).unionByName(own.select(F.upper(F.replace("line", F.lit("ß"), F.lit("ss"))).alias("text"))).unionByName(own.select(F.concat(F.lit("## "), "line").alias("text")))
+    named = own.select(F.concat(F.lit("Chapter "), (F.col("ord") + 1).cast("string")).alias("text")).unionByName(own.select((F.col("ord") + 1).cast("string").alias("text")))
     names = table(spark, sf_dir, "region").select(F.col("r_name").alias("text")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("text")))
-    return short.unionByName(named).unionByName(names).where("trim(text) <> ''").distinct().select("text", tx.is_heading("text").alias("heading"))
+    return whole.unionByName(named).unionByName(names).where("trim(text) <> ''").distinct().select("text", tx.is_heading("text").alias("heading"))
 
 
 HEADINGS = rf"""
