@@ -234,9 +234,9 @@ def split_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with anchors of two notes; notes are fn-p0000-000 to fn-p0039-000."""
+    """Each whole document with anchors of two notes behind it; notes are fn-p0000-000 to fn-p0039-000."""
     mark = lambda n: F.concat(F.lit("[[FN:fn-p"), F.lpad(n.cast("string"), 4, "0"), F.lit("-000]]"))
-    text = F.concat(F.left("text", F.lit(40)), mark(F.col("doc_id") % 50), F.lit(" x "), mark((F.col("doc_id") * 7) % 50))
+    text = F.concat("text", mark(F.col("doc_id") % 50), F.lit(" x "), mark((F.col("doc_id") * 7) % 50))
     return documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), text.alias("text"))
 
 
