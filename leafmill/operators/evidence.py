@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,28 +50,67 @@ def batches(evidence: DataFrame, profiles: DataFrame, key: str = "book") -> Data
     batch counts the JSON of its identities and, once each, of the profiles that
     they come from; an identity is never parted, so that one alone may be longer.
     """
-    context = profiles.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("ord", "json"))).alias("_context"))
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_kind=(rows["kind"] != "glossary")).sort_values(["_kind", "ord"])
-        empty = len(json.dumps({"glossary": [], "register": [], "source_context": {}}))
-        batch, count, kinds, known, out = 0, 0, {}, {}, []
-
-        def size(kinds: dict, known: dict) -> int:
-            lists = sum(sum(v) + 2 * (len(v) - 1) for v in kinds.values() if v)
-            return empty + lists + sum(known.values()) + 2 * max(0, len(known) - 1)
-
-        for kind, own, orders, context_of in zip(rows["kind"], rows["json"], rows["orders"], rows["_context"]):
-            context_of = dict(context_of)
-            more = {o: len(json.dumps(str(o))) + 2 + len(context_of[o]) for o in orders}
-            new_kinds = {**kinds, kind: [*kinds.get(kind, []), len(own)]}
-            if count and (count >= BATCH_ITEMS or size(new_kinds, {**known, **more}) > BATCH_CHARS):
-                batch, count, known, new_kinds = batch + 1, 0, {}, {kind: [len(own)]}
-            kinds, known, count = new_kinds, {**known, **more}, count + 1
-            out.append(batch)
-        return rows.assign(batch=out)[[key, "kind", "identity", "batch"]]
-
-    return evidence.join(context, key).groupBy(key).applyInPandas(fill, f"{key} string, kind string, identity string, batch int")
+    own = evidence.select(key, "kind", "identity", "ord", F.length("json").alias("_n"), F.explode_outer(F.array_distinct("orders")).alias("_from"))
+    cost = profiles.select(key, F.col("ord").alias("_from"), F.lit(True).alias("_there"), (F.length(F.col("ord").cast("string")) + 4 + F.length("json")).cast("long").alias("_cost"))
+    lost = F.raise_error(F.concat(F.lit("no profile "), F.col("_from").cast("string")))
+    rows = own.join(cost, [key, "_from"], "left").withColumn("_cost", F.when(F.col("_from").isNotNull() & F.col("_there").isNull(), lost).otherwise(F.col("_cost")))
+    rows = rows.withColumn("_kind", F.col("kind") != "glossary").repartition(key).sortWithinPartitions(key, "_kind", "ord", "kind", "identity")
+    return rows.select(key, "kind", "identity", "_n", "_from", "_cost").mapInArrow(_filled(key), f"{key} string, kind string, identity string, batch int")
+
+
+def _filled(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows (key, kind, identity, length, profile, its length) to a row for each identity.
+
+    Profiles are held for one batch and one identity, and only as far as both are
+    within BATCH_CHARS: beyond that nothing can join them.
+    """
+    empty = len(json.dumps({"glossary": [], "register": [], "source_context": {}}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, now, out = None, None, []
+        batch, count, lists, known, held, n = 0, 0, {}, {}, 0, 0
+        own, more, size = {}, 0, 0
+
+        def close() -> None:
+            nonlocal batch, count, lists, known, held, n
+            kind, length = now[1], n
+            new = {**lists, kind: [*lists.get(kind, []), length]}
+            context = {**known, **own}
+            whole = empty + sum(sum(v) + 2 * (len(v) - 1) for v in new.values()) + held + more + 2 * max(0, len(context) - 1)
+            over = held > BATCH_CHARS or size > BATCH_CHARS or whole > BATCH_CHARS
+            if count and (count >= BATCH_ITEMS or over):
+                batch, count, new, context, held = batch + 1, 0, {kind: [length]}, dict(own), size
+            else:
+                held += more
+            lists, known, count = new, context if held <= BATCH_CHARS else {}, count + 1
+            out.append((*now, batch))
+
+        for rows in batches:
+            for b, kind, identity, length, profile, cost in zip(*(rows.column(c).to_pylist() for c in range(6))):
+                if now != (b, kind, identity):
+                    if now is not None:
+                        close()
+                    if b != book:
+                        book, batch, count, lists, known, held = b, 0, 0, {}, {}, 0
+                    now, n, own, more, size = (b, kind, identity), length, {}, 0, 0
+                if profile is not None:
+                    size += cost
+                    more += 0 if profile in known else cost
+                    if size <= BATCH_CHARS:
+                        own[profile] = cost
+            if out:
+                yield _numbered(out, key)
+                out.clear()
+        if now is not None:
+            close()
+            yield _numbered(out, key)
+
+    return run
+
+
+def _numbered(rows: list[tuple], key: str) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.string(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[key, "kind", "identity", "batch"])
 
 
 def canonical(evidence: DataFrame, choices: DataFrame) -> DataFrame:

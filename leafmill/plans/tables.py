@@ -66,7 +66,7 @@ FROM documents GROUP BY 1, 2"""
 
 
 def chapter_synopses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("chapter"), F.col("turn").alias("ord"), F.left("text", F.lit(40)).alias("synopsis"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("chapter"), F.col("turn").alias("ord"), F.col("text").alias("synopsis"))
     return evidence.synopses(turns).select("chapter", md5("synopsis").alias("synopsis"))
 
 
@@ -678,18 +678,18 @@ def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents set as pages of glyphs, ten lines of forty signs, and read back."""
-    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("book"), F.left(tx.squeeze("text"), F.lit(400)).alias("t"))
-    glyphs = docs.select("book", F.posexplode(F.split("t", "")).alias("ord", "text")).withColumn("row", F.floor(F.col("ord") / 40)).withColumn("col", F.col("ord") % 40)
+    """Documents set as pages of glyphs, ten lines of forty signs each, as many as they need, and read back."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("book"), tx.squeeze("text").alias("t"))
+    glyphs = docs.select("book", F.posexplode(F.split("t", "")).alias("ord", "text")).withColumn("row", F.floor(F.col("ord") % 400 / 40)).withColumn("col", F.col("ord") % 40)
     top = F.col("row") * 14.0 + 100
-    rows = glyphs.select("book", F.lit(1).alias("page_no"), F.lit(400.0).alias("width"), F.lit(600.0).alias("height"), "ord", "text", (F.col("col") * 6.0 + 30).alias("x0"), (F.col("col") * 6.0 + 36).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), F.lit(10.0).alias("size"), F.lit(None).cast("string").alias("note_id"), F.lit(None).cast("string").alias("note_label"), F.array().cast("array<double>").alias("separators"), F.lit("[]").alias("links"), F.array().cast("array<string>").alias("repeated"))
+    rows = glyphs.select("book", (F.floor(F.col("ord") / 400) + 1).cast("int").alias("page_no"), F.lit(400.0).alias("width"), F.lit(600.0).alias("height"), "ord", "text", (F.col("col") * 6.0 + 30).alias("x0"), (F.col("col") * 6.0 + 36).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), F.lit(10.0).alias("size"), F.lit(None).cast("string").alias("note_id"), F.lit(None).cast("string").alias("note_label"), F.array().cast("array<double>").alias("separators"), F.lit("[]").alias("links"), F.array().cast("array<string>").alias("repeated"))
     return longs(layout.read_books(rows).select("book", "page_no", md5("layout").alias("layout")))
 
 
 def evidence_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evidence.groups(_evidence(spark, sf_dir))
     own = found.select(F.lit("b").alias("book"), "kind", "identity", F.col("first.ord").alias("ord"), F.to_json(F.struct("identity", "candidates")).alias("json"), F.array_distinct(F.flatten(F.transform("candidates", lambda c: F.transform(c.sources, lambda s: s.ord)))).alias("orders"))
-    profiles = documents(spark, sf_dir).select(F.lit("b").alias("book"), F.col("doc_id").alias("ord"), F.left("text", F.lit(80)).alias("json"))
+    profiles = documents(spark, sf_dir).select(F.lit("b").alias("book"), F.col("doc_id").alias("ord"), F.col("text").alias("json"))
     return longs(evidence.batches(own, profiles).groupBy("book", "batch").agg(F.count("*").alias("n")))
 
 

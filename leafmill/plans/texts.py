@@ -200,7 +200,7 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
 
 
 def synopses_around(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("chapter_ord"), F.left("text", F.lit(30)).alias("synopsis"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("chapter_ord"), F.col("text").alias("synopsis"))
     return packing.around(docs.select("chapter_ord"), docs).select(F.col("chapter_ord").alias("doc_id"), md5("synopses").alias("synopses"))
 
 

@@ -1,10 +1,16 @@
 """Queries on whole texts and all rows, against SQL without the cuts of the catalog's SQL, or against plain versions."""
 
+import hashlib
+import json
 import os
+import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from leafmill.plans import catalog
+from leafmill.operators import evidence, layout
+from leafmill.plans import catalog, tables
 from tests.conftest import DATA
 from tests.helpers import compare
 
@@ -73,3 +79,56 @@ def test_letters_behind_the_first_characters_count(spark, small):
     found = catalog.QUERIES["text_map_violations"](spark, small).where("problem = 'immutable'").collect()
     assert {int(r.id) % 9 for r in found} <= {6}
     assert sum(len(r.text) for r in catalog.QUERIES["spoken_texts"](spark, small).collect()) > 6 * len(LONG)
+
+
+@pytest.mark.parametrize(("name", "cut", "rest"), [("band_join_synopses", "left(b.text, 30)", "b.text"), ("chapter_synopses", "left(text, 40)", "text")])
+def test_synopses_of_whole_texts(spark, data, name, cut, rest):
+    assert against(spark, data, name, whole(name, (cut, rest))) > 0
+
+
+def plain_batches(rows, texts):
+    """Each identity's batch; rows: kind, identity, ord, json, orders."""
+    empty, batch, held, out = len(json.dumps({"glossary": [], "register": [], "source_context": {}})), 0, [], {}
+
+    def size(some):
+        lists = [[len(r.json) for r in some if r.kind == k] for k in {r.kind for r in some}]
+        context = {o: len(str(o)) + 4 + len(texts[o]) for r in some for o in r.orders}
+        return empty + sum(sum(v) + 2 * (len(v) - 1) for v in lists) + sum(context.values()) + 2 * max(0, len(context) - 1)
+
+    for r in sorted(rows, key=lambda r: (r.kind != "glossary", r.ord)):
+        if held and (len(held) >= evidence.BATCH_ITEMS or size([*held, r]) > evidence.BATCH_CHARS):
+            batch, held = batch + 1, []
+        held.append(r)
+        out[r.kind, r.identity] = batch
+    return out
+
+
+def test_batches_of_long_profiles(spark):
+    rng = random.Random(3)
+    texts = {k: "x" * rng.choice([5, 300, 3000, 9000, 25000 if k % 9 == 0 else 700]) for k in range(300)}
+    rows = [("b", "glossary" if k < 200 else "register", f"i{k}", k, "j" * rng.randrange(5, 900), sorted({rng.randrange(max(0, k - 4), k + 1) for _ in range(rng.randrange(1, 5))}) if k % 40 else list(range(k + 1))) for k in range(300)]
+    own = spark.createDataFrame(rows, "book string, kind string, identity string, ord long, json string, orders array<long>")
+    profiles = spark.createDataFrame([("b", k, t) for k, t in texts.items()], "book string, ord long, json string")
+    found = {(r.kind, r.identity): r.batch for r in evidence.batches(own, profiles).collect()}
+    assert found == plain_batches(own.collect(), texts)
+
+
+def test_budget_counts_whole_texts(spark, data):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    own = evidence.groups(tables._evidence(spark, data)).select("kind", "identity", F.col("first.ord").alias("ord"), F.to_json(F.struct("identity", "candidates")).alias("json"), F.expr("array_distinct(flatten(transform(candidates, c -> transform(c.sources, s -> s.ord))))").alias("orders"))
+    found = {r.batch: r.n for r in catalog.QUERIES["pack_with_byte_budget"](spark, data).collect()}
+    assert found == Counter(plain_batches(own.collect(), texts).values())
+
+
+def test_layout_of_all_pages(spark, small):
+    docs = {str(r.doc_id): " ".join(r.text.split()) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    want = set()
+    for book, text in docs.items():
+        last = None
+        for at in range(0, len(text), 400):
+            glyphs = [layout.Glyph(c, k % 40 * 6.0 + 30, k % 40 * 6.0 + 36, k // 40 * 14.0 + 100, k // 40 * 14.0 + 110, 10.0, None, None) for k, c in enumerate(text[at : at + 400])]
+            found = layout.read_page(layout.Page(at // 400 + 1, 400.0, 600.0, glyphs, [], []), last)
+            last = found["footnotes"][-1] if found["footnotes"] else last
+            want.add((book, at // 400 + 1, hashlib.md5(json.dumps(found, ensure_ascii=False).encode()).hexdigest()))
+    assert {tuple(r) for r in catalog.QUERIES["page_layout"](spark, small).collect()} == want
+    assert len(want) > 100
