@@ -112,7 +112,7 @@ WHERE doc_id % 9 = 4 OR len(list_filter(regexp_split_to_array(text || ' and so o
 
 def pcm_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 3).alias("n_bytes"), (F.col("p_size") - 2).alias("sample_rate"), F.lit(1).alias("channels"), (F.col("p_partkey") % 6).cast("int").alias("sample_width"))
-    return contracts.pcm_violations(own.where("sample_width > 0"))
+    return contracts.pcm_violations(own)
 
 
 PCM_VIOLATIONS = """
@@ -345,7 +345,7 @@ WHERE v.event_type = 'view' GROUP BY v.book, v.event_id"""
 
 
 def continued_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lines(documents(spark, sf_dir)).where("ord < 4")
+    own = lines(documents(spark, sf_dir))
     text = F.when(F.col("ord") % 2 == 0, F.concat("line", F.lit("-"))).otherwise(F.lower("line"))
     body = own.where("ord = 0").select(F.col("lang").alias("book"), F.col("doc_id").cast("string").alias("note_id"), F.lit(1).alias("source_page"), text.alias("text"))
     more = own.where("ord > 0").select(F.col("lang").alias("book"), F.col("doc_id").cast("string").alias("note_id"), (F.col("ord") + 1).alias("page_no"), "ord", text.alias("text"))

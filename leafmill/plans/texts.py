@@ -331,9 +331,9 @@ SELECT doc_id, CAST(ord AS BIGINT) AS ord, md5(text) AS text FROM own WHERE NOT
 
 
 def restored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = lines(documents(spark, sf_dir)).where("ord = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("line", r"\p{L}", "")).otherwise(F.col("line")).alias("text"))
+    source = lines(documents(spark, sf_dir)).select(F.struct("doc_id", "ord").alias("id"), F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("line", r"\p{L}", "")).otherwise(F.col("line")).alias("text"))
     output = source.select("id", F.concat(F.col("text"), F.lit("!")).alias("text"))
-    return contracts.restored(source, output).select("id", md5("text").alias("text"))
+    return contracts.restored(source, output).select(F.col("id.doc_id").alias("id"), md5("text").alias("text"))
 
 
 RESTORED_ENTRIES = rf"""

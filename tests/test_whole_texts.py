@@ -132,3 +132,34 @@ def test_layout_of_all_pages(spark, small):
             want.add((book, at // 400 + 1, hashlib.md5(json.dumps(found, ensure_ascii=False).encode()).hexdigest()))
     assert {tuple(r) for r in catalog.QUERIES["page_layout"](spark, small).collect()} == want
     assert len(want) > 100
+
+
+def test_restored_entries_of_all_lines(spark, data):
+    assert against(spark, data, "restored_entries", whole("restored_entries", (" WHERE ord = 0", ""))) > 1000
+
+
+def test_notes_of_all_lines(spark, small):
+    def body(text):
+        own = [line + "-" if k % 2 == 0 else line.lower() for k, line in enumerate(text.split("\n"))]
+        if len(own) == 1:
+            return own[0], 1
+        out = own[0].rstrip()
+        for line in (x.strip() for x in own[1:]):
+            if out.endswith("-") and line[:1].islower():
+                out = out[:-1] + line
+            else:
+                out = f"{out} {line}" if out else line
+        return out, len(own)
+
+    want = set()
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        text, n = body(r.text)
+        want.add((str(r.doc_id), hashlib.md5(text.encode()).hexdigest(), n))
+    assert {tuple(r) for r in catalog.QUERIES["continued_notes"](spark, small).collect()} == want
+    assert max(n for *_, n in want) == 300
+
+
+def test_sounds_of_width_zero(spark, data):
+    found = {r.id: r.problem for r in catalog.QUERIES["pcm_violations"](spark, data).collect()}
+    parts = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{data}/part.parquet").collect() if r.p_partkey % 6 == 0}
+    assert parts and all(found[k] == ("rate" if size <= 2 else "width") for k, size in parts.items())
