@@ -16,6 +16,7 @@ fingerprints of two levels are compared at the thinner one's steps.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from leafmill.llm.common import range_ids, ship, store
 PERIOD, GRAM, LEAST_STEPS, MOST_SAMPLES, PAD = 4096, 4, 64, 512, 64
 #: Code points that are walked at once, and about how much a sorted range of documents holds.
 BATCH_CHARS, RANGE_CHARS, MOST_RANGES, TASK_RANGES = 4_000_000, 4_000_000, 10_000, 4
+#: Up to so many samples have exact keys; about how many classes of one key are held against one another at once.
+FEW, PART_CLASSES = 72, 1000
 _random = np.random.Generator(np.random.PCG64(20_250_117))
 MOVES = _random.integers(0, 2, (PERIOD, 256), np.uint8).astype(np.int32)
 NONE = 255
@@ -218,14 +221,60 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], names=["doc_id", "fingerprint"])
 
 
+def few_keys(own: str, least: float) -> list[str]:
+    """Keys that two fingerprints of level 0 and up to FEW samples share if they are as like as least.
+
+    Of most samples, those of the longer one, so many may differ; cut into one run
+    more than that, one run is the same in both. most is tried from one's own
+    number up to the largest that can be as like.
+    """
+    share, out = least * 15 / 16 + 1 / 16, []
+    for most in range(len(own), min(FEW, int(len(own) / share + 1e-9)) + 1):
+        runs = int(most * (1 - share) + 1e-9) + 1
+        ends = [most * k // runs for k in range(runs + 1)]
+        out += [f"f{most}:{b}:{own[b:e]}" for b, e in zip(ends, ends[1:]) if b < e <= len(own)]
+    return out
+
+
+def _linked(least: float):  # noqa: ANN202
+    """Sorted rows (part, class_id, fingerprint): links that join the components within each part."""
+
+    def links(ids: list[int], prints: list[str]) -> Iterator[tuple[int, int, float]]:
+        label = list(range(len(ids)))
+        for x in range(1, len(ids)):
+            for y in range(x):
+                if label[x] != label[y] and (like := likeness(prints[x], prints[y])) >= least:
+                    yield max(ids[x], ids[y]), min(ids[x], ids[y]), like
+                    gone, kept = label[x], label[y]
+                    label = [kept if k == gone else k for k in label]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, prints = None, [], []
+        for batch in itertools.chain(batches, [None]):
+            found: list[tuple[int, int, float]] = []
+            for part, node, own in zip(*(batch.column(c).to_pylist() for c in range(3))) if batch else [(None, 0, "")]:
+                if part != now:
+                    found += links(ids, prints)
+                    now, ids, prints = part, [], []
+                ids.append(node)
+                prints.append(own)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "like_id", "likeness"])
+
+    return run
+
+
 def near_pairs(docs: DataFrame, least: float = 0.8, band: int = 6) -> DataFrame:
-    """doc_id, like_id, likeness: each document and the smallest id among those that share a band with it.
+    """doc_id, like_id, likeness: links between documents and ones of smaller ids that share a key with them.
 
     Documents with one fingerprint are a class, named by its smallest doc_id, and
-    give one row to it each. Bands are runs of `band` samples of the documents'
-    level and of the next thinner one, as many as these have; within a band,
-    classes are held against the smallest only, so that the rows grow with the
-    number of documents, and kept where the whole fingerprints are as like as `least`.
+    give one row to it each. Keys are runs of `band` samples of the documents'
+    level and of the next thinner one, as many as these have, and for up to FEW
+    samples those of few_keys, so that no pair of them is missed. Within a key
+    classes are held against one another until all that are as like as `least`
+    are in one component; a key of more than PART_CLASSES is cut, and each two of
+    its cuts are held against one another. Links span the components; pairs that
+    others already join have no row.
     """
     ship(docs.sparkSession)
     every = store(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_prints, "doc_id long, fingerprint string"), "prints")
@@ -236,21 +285,19 @@ def near_pairs(docs: DataFrame, least: float = 0.8, band: int = 6) -> DataFrame:
         def of(x: str) -> list[str]:
             level, own = int(x.split(":")[0], 16), x.split(":")[1]
             thin = "".join(c for c, k in zip(own, _levels_of_samples(level, len(own))) if k > level)
-            return [f"{v}:{i}:{s[i : i + band]}" for v, s in ((level, own), (level + 1, thin)) for i in range(0, len(s) - band + 1, band)]
+            few = few_keys(own, least) if level == 0 and len(own) <= FEW else []
+            return few + [f"{v}:{i}:{s[i : i + band]}" for v, s in ((level, own), (level + 1, thin)) for i in range(0, len(s) - band + 1, band)]
 
         return prints.map(of)
 
-    @F.pandas_udf("double")
-    def alike(a, b):  # noqa: ANN001, ANN202
-        return a.combine(b, likeness)
-
-    keyed = store(classes.select("class_id", "fingerprint", F.explode(bands("fingerprint")).alias("band")), "bands")
-    leaders = keyed.groupBy("band").agg(F.min("class_id").alias("like_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keyed.select("class_id", "band").join(leaders, "band").where("class_id > like_id").select("class_id", "like_id").distinct()
-    sides = pairs.join(classes, "class_id").join(classes.select(F.col("class_id").alias("like_id"), F.col("fingerprint").alias("other")), "like_id")
-    found = sides.withColumn("likeness", alike("fingerprint", "other")).where(F.col("likeness") >= least)
+    keyed = store(classes.select("class_id", F.explode(bands("fingerprint")).alias("band")), "bands")
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(2 * F.col("n") / PART_CLASSES).cast("int"))
+    rows = keyed.join(sizes, "band").withColumn("_own", F.when(F.col("parts") <= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("class_id"), F.col("parts"))).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.when(F.col("parts") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    rows = rows.select(F.concat_ws("|", F.least("_own", "_other"), F.greatest("_own", "_other"), "band").alias("part"), "class_id").join(classes, "class_id")
+    links = rows.select("part", "class_id", "fingerprint").repartition("part").sortWithinPartitions("part", "class_id").mapInArrow(_linked(least), "doc_id long, like_id long, likeness double").distinct()
     own = every.join(classes, "fingerprint").where("doc_id <> class_id").select("doc_id", F.col("class_id").alias("like_id"), F.lit(1.0).alias("likeness"))
-    return own.unionByName(found.select(F.col("class_id").alias("doc_id"), "like_id", "likeness"))
+    return own.unionByName(links)
 
 
 def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
