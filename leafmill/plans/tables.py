@@ -71,7 +71,7 @@ def chapter_synopses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAPTER_SYNOPSES = r"""
-SELECT CAST(conv_id AS VARCHAR) AS chapter, md5(regexp_replace(string_agg(left(text, 40), chr(10) ORDER BY turn), '^\s+|\s+$', '', 'g')) AS synopsis
+SELECT CAST(conv_id AS VARCHAR) AS chapter, md5(regexp_replace(string_agg(text, chr(10) ORDER BY turn), '^\s+|\s+$', '', 'g')) AS synopsis
 FROM conversations GROUP BY 1"""
 
 
@@ -117,7 +117,7 @@ def pcm_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PCM_VIOLATIONS = """
 SELECT * FROM (SELECT p_partkey AS id, CASE WHEN p_size - 2 <= 0 THEN 'rate' WHEN p_partkey % 6 NOT BETWEEN 1 AND 4 THEN 'width'
-  WHEN (p_partkey * 3) % (p_partkey % 6) <> 0 THEN 'frames' END AS problem FROM part WHERE p_partkey % 6 > 0) WHERE problem IS NOT NULL"""
+  WHEN (p_partkey * 3) % (p_partkey % 6) <> 0 THEN 'frames' END AS problem FROM part) WHERE problem IS NOT NULL"""
 
 
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,14 +353,15 @@ def continued_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTINUED_NOTES = rf"""
-WITH RECURSIVE {LINES},
-own AS (SELECT doc_id, ord, regexp_replace(CASE WHEN ord % 2 = 0 THEN line || '-' ELSE lower(line) END, '^\s+|\s+$', '', 'g') AS t FROM lines WHERE ord < 4),
-joined AS (
-  SELECT doc_id, ord, CASE WHEN ord = 0 THEN t END AS text FROM own WHERE ord = 0
-  UNION ALL
-  SELECT o.doc_id, o.ord, CASE WHEN j.text LIKE '%-' AND regexp_matches(o.t, '^\p{{Ll}}') THEN left(j.text, length(j.text) - 1) || o.t ELSE j.text || ' ' || o.t END
-  FROM joined j JOIN own o ON o.doc_id = j.doc_id AND o.ord = j.ord + 1)
-SELECT CAST(doc_id AS VARCHAR) AS note_id, md5(arg_max(text, ord)) AS text, count(*) AS n_pages FROM joined GROUP BY doc_id"""
+WITH {LINES},
+own AS (SELECT doc_id, ord, regexp_replace(CASE WHEN ord % 2 = 0 THEN line || '-' ELSE lower(line) END, '^\s+|\s+$', '', 'g') AS t,
+  CASE WHEN ord % 2 = 0 THEN line || '-' ELSE lower(line) END AS raw FROM lines),
+near AS (SELECT *, lag(t) OVER w AS before, lead(t) OVER w AS after, count(*) OVER (PARTITION BY doc_id) AS n FROM own WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+parts AS (
+  SELECT doc_id, ord, n, CASE WHEN n = 1 THEN raw ELSE
+    CASE WHEN ord = 0 OR (before LIKE '%-' AND regexp_matches(t, '^\p{{Ll}}')) THEN '' ELSE ' ' END
+    || CASE WHEN t LIKE '%-' AND regexp_matches(after, '^\p{{Ll}}') THEN left(t, length(t) - 1) ELSE t END END AS part FROM near)
+SELECT CAST(doc_id AS VARCHAR) AS note_id, md5(string_agg(part, '' ORDER BY ord)) AS text, any_value(n) AS n_pages FROM parts GROUP BY doc_id"""
 
 
 def _page_things(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -625,7 +626,7 @@ WITH {_ANCHORED},
 ranked AS (SELECT ord, pos, note_id, row_number() OVER (PARTITION BY note_id ORDER BY ord, pos) AS k FROM used),
 shown AS (SELECT ord, max(CASE WHEN pos = 0 THEN m END) AS m0, max(CASE WHEN pos = 1 THEN m END) AS m1, bool_and(note_id IN (SELECT note_id FROM notes)) AS good
   FROM (SELECT *, {shown} AS m FROM ranked) GROUP BY ord)
-SELECT s.ord, CASE WHEN good THEN md5({escaped.format("left(d.text, 40)")} || m0 || ' x ' || m1) END AS markup FROM shown s JOIN documents d ON d.doc_id = s.ord"""
+SELECT s.ord, CASE WHEN good THEN md5({escaped.format("d.text")} || m0 || ' x ' || m1) END AS markup FROM shown s JOIN documents d ON d.doc_id = s.ord"""
 
 
 def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

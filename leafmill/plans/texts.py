@@ -55,8 +55,8 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEADINGS = rf"""
 WITH {LINES},
 texts AS (
-  SELECT left(line, 36) AS text FROM lines UNION SELECT upper(replace(left(line, 24), 'ß', 'ss')) FROM lines UNION SELECT '## ' || line FROM lines
-  UNION SELECT 'Chapter ' || (ord + 1) FROM lines WHERE ord < 3 UNION SELECT CAST(ord + 1 AS VARCHAR) FROM lines WHERE ord < 200
+  SELECT line AS text FROM lines UNION SELECT upper(replace(line, 'ß', 'ss')) FROM lines UNION SELECT '## ' || line FROM lines
+  UNION SELECT 'Chapter ' || (ord + 1) FROM lines UNION SELECT CAST(ord + 1 AS VARCHAR) FROM lines
   UNION SELECT r_name FROM region UNION SELECT n_name FROM nation),
 cut AS (SELECT text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS p FROM texts WHERE trim(text) <> '')
 SELECT text, CASE
@@ -140,7 +140,7 @@ blocks AS (
   SELECT book, page_no, ord, type, CASE WHEN page_no % 4 = 0 THEN rtrim(translate(t, '.!?:;', '     ')) ELSE t END AS text FROM derived)"""
 BOOK_PARAGRAPHS = rf"""
 WITH {_BLOCKS},
-stripped AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS p FROM blocks WHERE length(text) <= 5000),
+stripped AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS p FROM blocks),
 flagged AS (SELECT *, type = 'heading' OR ({IS_HEADING}) AS heading FROM stripped WHERE p <> ''),
 numbered AS (
   SELECT *, sum(CAST(heading AS INT)) OVER b + CASE WHEN first(heading) OVER b THEN 0 ELSE 1 END AS chapter_no,
@@ -205,7 +205,7 @@ def synopses_around(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SYNOPSES_AROUND = """
-SELECT a.doc_id, md5(string_agg(left(b.text, 30), chr(10) ORDER BY b.doc_id)) AS synopses
+SELECT a.doc_id, md5(string_agg(b.text, chr(10) ORDER BY b.doc_id)) AS synopses
 FROM documents a JOIN documents b ON b.doc_id BETWEEN a.doc_id - 1 AND a.doc_id + 1 GROUP BY a.doc_id"""
 
 
@@ -246,7 +246,7 @@ def _notes(spark: SparkSession) -> DataFrame:
 
 _ANCHORED = """anchored AS (
   SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS id,
-    left(text, 40) || '[[FN:fn-p' || lpad(CAST(doc_id % 50 AS VARCHAR), 4, '0') || '-000]] x [[FN:fn-p' || lpad(CAST((doc_id * 7) % 50 AS VARCHAR), 4, '0') || '-000]]' AS text
+    text || '[[FN:fn-p' || lpad(CAST(doc_id % 50 AS VARCHAR), 4, '0') || '-000]] x [[FN:fn-p' || lpad(CAST((doc_id * 7) % 50 AS VARCHAR), 4, '0') || '-000]]' AS text
   FROM documents),
 notes AS (SELECT printf('fn-p%04d-000', range) AS note_id, 40 - range AS note_ord FROM range(40)),
 used AS (
@@ -337,7 +337,7 @@ def restored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RESTORED_ENTRIES = rf"""
-WITH {LINES}, own AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN regexp_replace(line, '\p{{L}}', '', 'g') ELSE line END AS text FROM lines WHERE ord = 0)
+WITH {LINES}, own AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN regexp_replace(line, '\p{{L}}', '', 'g') ELSE line END AS text FROM lines)
 SELECT id, md5(CASE WHEN regexp_matches(text, '\p{{L}}') THEN text || '!' ELSE text END) AS text FROM own"""
 
 
@@ -386,7 +386,7 @@ def changed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.changed(docs, docs.select("id", F.replace("text", F.lit("ing"), F.lit("in")).alias("text"))).select("id", md5("text").alias("text"))
 
 
-CHANGED_TEXTS = "SELECT doc_id AS id, md5(replace(left(text, 200), 'ing', 'in')) AS text FROM documents WHERE instr(left(text, 200), 'ing') > 0"
+CHANGED_TEXTS = "SELECT doc_id AS id, md5(replace(text, 'ing', 'in')) AS text FROM documents WHERE instr(text, 'ing') > 0"
 
 
 def escaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
