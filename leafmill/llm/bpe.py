@@ -6,13 +6,16 @@ a function from the states of a small automaton to its states; functions are put
 together block by block and the blocks' functions by an associative scan, so that
 each block's first state is known and all blocks run side by side. Pieces that
 were met before have their ids at hand; the others are merged together, one merge
-in each of them at a time. Tokens' bytes are slices of one string, whose offsets
-are kept: decoding is a gather.
+in each of them at a time, but long ones by a heap of their pairs, in n log n steps.
+The pieces' offsets in the text are kept: decoding is a gather of tokens' bytes,
+and each piece must begin where its offset says.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ SPACE, OTHER_SPACE, RUN_SPACE, LETTER, NUMBER, SIGN, QUOTE, SINGLE, PAIRED, BREA
 # it and the first of a pair.
 OVER, BEFORE, IN_SPACE, IN_LETTERS, IN_NUMBERS, IN_SIGNS, QUOTED, HALF = range(8)
 BLOCKS, BATCH_ROWS, BATCH_CHARS, MOST_PIECES = 8192, 512, 1_000_000, 400_000
+#: Pieces of more bytes are merged by a heap, and not kept.
+LONG = 96
 
 
 def automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +133,7 @@ class Bpe:
                     pairs[a * self.size + b] = rank
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.pairs = pairs
         tokens = [b""] * self.size
         for token, rank in self.ranks.items():
             tokens[rank] = token
@@ -166,6 +172,9 @@ class Bpe:
             new = set(slices)
         self.learn(list(new))
         found, out, begin = [known[s] for s in slices], [], 0
+        for s in new:
+            if len(s) > LONG:
+                del known[s]
         for end in upto:
             out.append((b"".join(found[begin:end]), bounds[begin:end] - bounds[begin]))
             begin = end + 1  # the U+0000 after the text is a piece of its own
@@ -175,12 +184,14 @@ class Bpe:
         """Merges pieces and puts their ids into self.known.
 
         In each round every piece has its pair of the lowest rank merged, the first
-        of equal ones, until no pair of any piece is a token.
+        of equal ones, until no pair of any piece is a token. Long pieces go one by one.
         """
         none = self.size
         whole = [p for p in pieces if p in self.ranks]
         self.known.update((p, int(self.ranks[p]).to_bytes(4, "little")) for p in whole)
         pieces = [p for p in pieces if p not in self.ranks]
+        self.known.update((p, self.merged_long(p)) for p in pieces if len(p) > LONG)
+        pieces = [p for p in pieces if len(p) <= LONG]
         if not pieces:
             return
         number = np.arange(len(pieces))
@@ -211,11 +222,47 @@ class Bpe:
             ids = np.delete(ids, hit + 1)
             lengths = lengths - 1
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for."""
+    def merged_long(self, piece: bytes) -> bytes:
+        """The ids of one piece, by a heap of its pairs (rank, place) over a linked list of its tokens.
+
+        A pair that has changed since it was put on the heap is passed over: the
+        pair at its place has another rank then.
+        """
+        size, get, n = self.size, self.pairs.get, len(piece)
+        first = self.single[np.frombuffer(piece, np.uint8)]
+        pair = first[:-1] * size + first[1:]
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        where = np.flatnonzero(self.keys[at] == pair)
+        heap = ((self.merged[at[where]] << 40) | where).tolist()
+        heapq.heapify(heap)
+        ids, after, before = array("q", first.tobytes()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        place, push, pop = (1 << 40) - 1, heapq.heappush, heapq.heappop
+        while heap:
+            top = pop(heap)
+            i, rank = top & place, top >> 40
+            j = after[i]
+            if j >= n or ids[i] < 0 or get(ids[i] * size + ids[j]) != rank:
+                continue
+            k, h = after[j], before[i]
+            ids[i], ids[j], after[i] = rank, -1, k
+            if k < n:
+                before[k] = i
+                if (next_rank := get(rank * size + ids[k])) is not None:
+                    push(heap, next_rank << 40 | i)
+            if h >= 0 and (next_rank := get(ids[h] * size + rank)) is not None:
+                push(heap, next_rank << 40 | h)
+        found = np.frombuffer(ids, np.int64)
+        return found[found >= 0].astype("<u4").tobytes()
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> bytes:
+        """The bytes that ids stand for. offsets: where pieces begin in them; a token must begin at each."""
         n = self.lengths[ids]
-        move = self.offsets[ids] - (np.cumsum(n) - n)
-        return self.bytes[np.repeat(move, n) + np.arange(int(n.sum()))].tobytes()
+        begin = np.cumsum(n) - n
+        if offsets is not None and len(offsets):
+            at = np.searchsorted(begin, offsets)
+            if at[-1] >= len(begin) or (begin[at] != offsets).any():
+                raise ValueError("ids do not fit the offsets of their pieces")
+        return self.bytes[np.repeat(self.offsets[ids] - begin, n) + np.arange(int(n.sum()))].tobytes()
 
 
 _LOADED: dict[str, Bpe] = {}
@@ -252,7 +299,7 @@ def _encoded(path: str, offsets: bool, decoded: bool):
                     if offsets:
                         columns["offsets"] = pa.array([o.astype("<u8").tobytes() for _, o in found], pa.binary())
                     if decoded:
-                        columns["decoded"] = pa.array([bpe.decode(np.frombuffer(ids, "<u4")) for ids, _ in found], pa.binary())
+                        columns["decoded"] = pa.array([bpe.decode(np.frombuffer(ids, "<u4"), o) for ids, o in found], pa.binary())
                     yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
@@ -271,14 +318,19 @@ def encode(docs: DataFrame, path: str, offsets: bool = True, decoded: bool = Fal
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded, a table with ids as encode() gives them (null: none), with the column decoded (binary)."""
+    """encoded, a table with ids as encode() gives them (null: none), with the column decoded (binary).
+
+    Where it has offsets too, ids that do not fit them raise an error.
+    """
     ship(encoded.sparkSession)
     at = encoded.columns.index("ids")
+    where = encoded.columns.index("offsets") if "offsets" in encoded.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            out = [bpe.decode(np.frombuffer(ids or b"", "<u4")) for ids in batch.column(at).to_pylist()]
+            pieces = [None] * batch.num_rows if where is None else [None if o is None else np.frombuffer(o, "<u8").astype(np.int64) for o in batch.column(where).to_pylist()]
+            out = [bpe.decode(np.frombuffer(ids or b"", "<u4"), o) for ids, o in zip(batch.column(at).to_pylist(), pieces)]
             yield batch.append_column("decoded", pa.array(out, pa.binary()))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
@@ -286,8 +338,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids and what they decode to, as digests."""
+    """Every document's ids, and what they and the pieces' offsets decode to, as digests."""
     import public_tokenizers
 
-    both = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), offsets=False, decoded=True)
+    both = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
