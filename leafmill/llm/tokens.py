@@ -3,7 +3,8 @@
 The library spends most of its time on offsets and objects that nobody asks for
 here. For texts whose code points are all below FAST_BELOW its ids are found
 with tiktoken's merge loop, run on the very vocabulary and merges of the file;
-every other text goes through the library itself. Below FAST_BELOW no text is
+every other text, and one that holds the string of an added token, goes through
+the library itself. Below FAST_BELOW no text is
 changed by NFC, lower-casing needs no context, and all Unicode versions agree on
 which characters are letters, numbers and white space, so both ways give the
 same ids; tests hold them against each other.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -40,6 +42,11 @@ def fast(text: str, words: bool = False) -> bool:
     return not words or len(plain.translate(None, _ODD)) == len(plain)
 
 
+def added(strings: set[str]) -> Callable[[str], object]:
+    """A search for any of the added tokens' strings, in whichever case."""
+    return re.compile("|".join(map(re.escape, sorted(strings))) or r"(?!)", re.IGNORECASE).search
+
+
 class ByteEncoder:
     """Byte-level vocabularies: white space is part of the pieces (byte_bpe)."""
 
@@ -49,9 +56,9 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         letters, file = byte_letters(), json.loads(self.tokenizer.to_str())
         special = {x["content"] for x in file["added_tokens"]}
+        self.added = added(special)
         ranks = {bytes(letters[c] for c in w): i for w, i in file["model"]["vocab"].items() if w not in special}
         self.quick = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -60,7 +67,7 @@ class ByteEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         quick = self.quick._core_bpe
-        return [np.frombuffer(quick.encode_to_tiktoken_buffer(t, set()), "<u4") if fast(t) else self.library(t) for t in texts]
+        return [np.frombuffer(quick.encode_to_tiktoken_buffer(t, set()), "<u4") if fast(t) and not self.added(t) else self.library(t) for t in texts]
 
 
 class WordEncoder:
@@ -76,7 +83,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most, self.known = most, {}
         letters, file = byte_letters(), json.loads(self.tokenizer.to_str())
         vocab, suffix = file["model"]["vocab"], file["model"]["end_of_word_suffix"]
@@ -90,6 +96,7 @@ class WordEncoder:
             ranks.setdefault(spelt(a + b), len(ranks))
         self.ids = np.zeros(len(ranks), "<u4")
         special = {x["content"] for x in file["added_tokens"]}
+        self.added = added(special)
         for w, i in vocab.items():
             if w not in special and spelt(w) in ranks:
                 self.ids[ranks[spelt(w)]] = i
@@ -111,7 +118,7 @@ class WordEncoder:
         self.known.update(zip(words, [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [t.split() if fast(t, True) else None for t in texts]
+        cuts = [t.split() if fast(t, True) and not self.added(t) else None for t in texts]
         new = {w for c in cuts if c for w in c}.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known.clear()
