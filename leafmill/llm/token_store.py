@@ -5,12 +5,15 @@ its content says so, so that shared passages give shared chunks. The store is a
 folder with
 
 - ``chunks``: digest, n, data; each chunk once, ids little-endian in `width` bytes;
-- ``recipes``: doc_id, start, n_tokens, root, digests, lengths, in ascending doc_id
-  order; root is the Merkle root of the chunks' digests;
-- ``manifest``: for each range of documents its number of documents and ids and the
-  Merkle root of their roots, and a last row (range null) over the ranges.
-
-Reading checks each chunk against its digest and each document against its root.
+- ``recipes``: part, doc_id, start, n_tokens, root, digests, lengths; sorted by doc_id
+  within each part, and parts rise with doc_id; root is the Merkle root of the
+  chunks' digests;
+- ``manifest``: for each part its number of documents and ids and the Merkle root
+  over its recipes, in order, and a last row (part null) over the parts.
+
+Reading checks each chunk against its digest, each recipe against its root, and
+the recipes that are there against the manifest, so that a chunk, a recipe or a row
+of the manifest that is lost or changed is an error.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm import crc
 from leafmill.llm.common import drop_stored, partitions, shared_dir, ship, store, stored_at
@@ -31,6 +35,8 @@ from leafmill.llm.ordering import running_total
 from leafmill.llm.tokens import encoder
 
 DIGEST = 16
+#: Chunks among which a task looks for copies.
+PART_CHUNKS = 1_000_000
 #: A chunk ends where MASK bits of the rolling hash over WINDOW ids are zero: 256 ids on average.
 WINDOW, MASK, LEAST, MOST = 16, np.uint32(0xFF << 20), 64, 1024
 GEAR = np.random.Generator(np.random.PCG64(20_250_411)).integers(0, 1 << 32, 1 << 16, np.uint32)
@@ -102,6 +108,8 @@ def _stage(tokenizer: str, end_id: int | None, width: int):
                 found = [x for ids in enc.encode(texts) for x in (ids, end)]
                 every = np.concatenate(found)
                 marks = np.flatnonzero(rolling(every) & MASK == 0)
+                if len(every) and int(every.max()) >> (8 * width):
+                    raise ValueError(f"id {int(every.max())} does not fit into {width} bytes")
                 every, upto = every.astype(kind), np.cumsum([len(x) for x in found])[1::2].tolist()
                 cuts = np.searchsorted(marks, [0, *upto]).tolist()
                 for k, (doc_id, begin, stop) in enumerate(zip(part.column(0).to_pylist(), [0, *upto], upto)):
@@ -127,7 +135,7 @@ def _stage(tokenizer: str, end_id: int | None, width: int):
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
+    seen: set[bytes] = set()  # a part's digests: about PART_CHUNKS
     for batch in batches:
         keep = []
         for d in batch.column(0).to_pylist():
@@ -141,23 +149,63 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
 
     docs: doc_id, text; other columns are not read. Rows with the same doc_id
     are documents of their own, in the order of their roots; a null doc_id comes
-    first. width: bytes of an id, 2 for vocabularies of up to 65,536.
+    first. width: bytes of an id, 2 for vocabularies of up to 65,536; an id that
+    needs more is an error.
     """
     spark = docs.sparkSession
     ship(spark)
     staged = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stage(tokenizer, end_id, width), STAGED_SQL), "staged")
     chunks = staged.where("digest is not null").select("digest", "n", "data")
-    stored_at(chunks.repartition(partitions(spark), "digest").mapInArrow(_first_of_each, "digest binary, n int, data binary"), f"{path}/chunks")
+    parts = max(partitions(spark), chunks.count() // PART_CHUNKS + 1)
+    stored_at(chunks.repartition(parts, "digest").mapInArrow(_first_of_each, "digest binary, n int, data binary"), f"{path}/chunks")
     found = staged.where("digest is null").select("doc_id", "n_tokens", "root", "digests", "lengths")
     ordered = running_total(found, "doc_id", "n_tokens", "start", ["root"], range_name="part")
-    recipes = stored_at(ordered.select("part", "doc_id", "start", "n_tokens", "root", "digests", "lengths"), f"{path}/recipes")
-    roots = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x.root)), "")
-    parts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(roots, 256).alias("root"))
-    parts = store(parts, "parts")
-    over = parts.agg(F.lit(None).cast("long").alias("part"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "root"))), lambda x: x.root), ""), 256).alias("root"))
-    stored_at(parts.unionByName(over).coalesce(1), f"{path}/manifest")
+    ordered = ordered.select("part", "doc_id", "start", "n_tokens", "root", "digests", "lengths").sortWithinPartitions("part", "start", F.col("doc_id").asc_nulls_first())
+    recipes = stored_at(ordered, f"{path}/recipes")
+    own = store(_part_roots(recipes), "parts")
+    stored_at(own.unionByName(_top_root(own)).coalesce(1), f"{path}/manifest")
     drop_stored(staged)
-    drop_stored(parts)
+    drop_stored(own)
+
+
+@F.pandas_udf(T.BinaryType())
+def _merkle_root(leaves):  # noqa: ANN001, ANN202
+    """Merkle roots of strings of leaves, DIGEST bytes each."""
+    return leaves.map(lambda b: merkle([b[i : i + DIGEST] for i in range(0, len(b), DIGEST)]))
+
+
+def _leaves(order: str, *values: str) -> Column:
+    """The leaves of rows in the order of a column; a row's leaf is a hash of these values."""
+    said = F.concat_ws("|", *[F.coalesce(F.hex(v) if v == "root" else F.col(v).cast("string"), F.lit("null")) for v in values])
+    leaf = F.substring(F.sha2(said.cast("binary"), 256), 1, 2 * DIGEST)
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), leaf.alias("leaf"))))
+    return F.unhex(F.array_join(F.transform(rows, lambda x: x.leaf), ""))
+
+
+def _part_roots(recipes: DataFrame) -> DataFrame:
+    """part, n_docs, n_tokens, root; a part is a range of some ten thousand documents."""
+    counted = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    roots = recipes.groupBy("part").agg(_leaves("start", "doc_id", "start", "n_tokens", "root").alias("leaves"))
+    return counted.join(roots, "part").select("part", "n_docs", "n_tokens", _merkle_root("leaves").alias("root"))
+
+
+def _top_root(parts: DataFrame) -> DataFrame:
+    """One row over all parts; a row and some forty bytes for each part."""
+    over = parts.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _leaves("part", "part", "n_docs", "n_tokens", "root").alias("leaves"))
+    return over.select(F.lit(None).cast("long").alias("part"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), _merkle_root("leaves").alias("root"))
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raises ValueError unless the store's recipes are those that its manifest was made from."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    own = _part_roots(spark.read.parquet(f"{path}/recipes"))
+    both = manifest.where("part is not null").alias("m").join(own.alias("r"), "part", "full")
+    same = F.col("m.n_docs").eqNullSafe(F.col("r.n_docs")) & F.col("m.n_tokens").eqNullSafe(F.col("r.n_tokens")) & F.col("m.root").eqNullSafe(F.col("r.root"))
+    if bad := both.where(~same).select("part").limit(5).collect():
+        raise ValueError(f"recipes do not match the manifest in parts {sorted(r.part for r in bad)}")
+    said, found = manifest.where("part is null").collect(), _top_root(manifest.where("part is not null")).first()
+    if len(said) != 1 or said[0] != found:
+        raise ValueError("the manifest does not match its own Merkle root")
 
 
 def _checked(width: int):
@@ -174,6 +222,14 @@ def _checked(width: int):
     return run
 
 
+def _intact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for d, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if digest(data) != d:
+                raise ValueError(f"chunk {d.hex()} does not hold what its digest says")
+        yield batch
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of each recipe: its root, digest, length and the ids after it."""
     for batch in batches:
@@ -208,6 +264,7 @@ def read_checked(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     CRC-32, so bytes need not travel; documents with equal ids share that work.
     """
     ship(spark)
+    check_manifest(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "data").mapInArrow(_checked(width), "digest binary, n long, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     once = recipes.groupBy("root").agg(F.first("digests").alias("digests"), F.first("lengths").alias("lengths"))
@@ -222,10 +279,12 @@ def read_checked(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, ids (array of int) of every document: what the store was written from."""
     ship(spark)
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "data")
+    check_manifest(spark, path)
+    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "data").mapInArrow(_intact, "digest binary, data binary")
     recipes = spark.read.parquet(f"{path}/recipes")
     once = recipes.groupBy("root").agg(F.first("digests").alias("digests"), F.first("lengths").alias("lengths"))
-    parts = once.mapInArrow(_parts, "root binary, digest binary, n long, after long").join(chunks, "digest")
+    parts = once.mapInArrow(_parts, "root binary, digest binary, n long, after long").join(chunks, "digest", "left")
+    parts = parts.withColumn("data", F.coalesce("data", F.raise_error(F.concat(F.lit("a chunk is missing: "), F.hex("digest"))).cast("binary")))
     hexes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("after"), F.hex("data").alias("h")))), lambda x: x.h), "")
     whole = parts.groupBy("root").agg(F.unhex(hexes).alias("data"))
 

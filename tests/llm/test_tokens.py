@@ -21,14 +21,14 @@ SIGNS = "".join(map(chr, range(0x180))) + "''''ssttrreevvmmlldd    \n\n\u2003\u0
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize(("path", "kind"), [(BYTES, tokens.ByteEncoder), (WORDS, tokens.WordEncoder)])
 def test_encoders_equal_the_library(path, kind):
     random.seed(4)
-    texts = [t or "" for t in awkward()] + ["".join(random.choices(SIGNS, k=random.randint(0, 50))) for _ in range(3000)] + ["<|endoftext|> a"]
+    texts = [t or "" for t in awkward()] + ["".join(random.choices(SIGNS, k=random.randint(0, 50))) for _ in range(3000)]
+    texts += [a + s + b for s in ("<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", "<|end of text|>") for a in ("", "a ", "Été") for b in ("", " b", "!")]
     plain = library(path)
     assert [x.tolist() for x in tokens.encoder(path, kind).encode(texts)] == [plain(t) for t in texts]
 
@@ -47,6 +47,34 @@ def test_bpe_equals_tiktoken(texts):
         assert len(offsets) == 0 or offsets[0] == 0
 
 
+@pytest.mark.parametrize("signs", ["abcdefghijklmnopqrstuvwxyz", "x", "et", "é日a", "\u0301 \t", "=-"])
+def test_long_pieces(signs):
+    """Pieces of up to a million signs, some beside others, in seconds."""
+    random.seed(5)
+    own = bpe.loaded(RANKS)
+    for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3000, 300_000 if len(signs) < 20 else 1_000_000):
+        text = "so " + "".join(random.choices(signs, k=n)) + " it goes"
+        ((ids, offsets),) = own.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == TIKTOKEN.encode_ordinary(text)
+        assert own.decode(np.frombuffer(ids, "<u4"), offsets) == text.encode()
+    assert max(map(len, own.known)) <= bpe.LONG
+
+
+def test_offsets_cut_texts_into_pieces():
+    own = bpe.loaded(RANKS)
+    for text in [t or "" for t in awkward()] + ["it's 12 o'clock,  isn't it\n\n é日"]:
+        ((ids, offsets),) = own.encode([text])
+        ids, data = np.frombuffer(ids, "<u4"), text.encode()
+        cut = [*offsets.tolist(), len(data)]
+        pieces = [data[a:b] for a, b in zip(cut, cut[1:])]
+        assert b"".join(pieces) == data and all(pieces)
+        assert np.concatenate([np.zeros(0, int), *[TIKTOKEN._core_bpe.encode_single_piece(p) for p in pieces]]).tolist() == ids.tolist()
+        assert own.decode(ids, offsets) == data
+        if len(ids) > 1 and len(offsets) > 1:
+            with pytest.raises(ValueError, match="do not fit"):
+                own.decode(ids[:-1] if ids[0] == ids[-1] else ids[::-1][: len(ids) - 1], np.append(offsets, len(data) + 5))
+
+
 def test_scan_equals_steps():
     random.seed(2)
     kind = np.array(random.choices(range(10), weights=[4, 1, 2, 9, 2, 3, 3, 4, 3, 1], k=50_000), np.uint8)
@@ -65,6 +93,15 @@ def test_bpe_tables(spark):
     assert bpe.encode(table(spark, []), RANKS).count() == 0
 
 
+def test_odd_ids(spark):
+    """Null and repeated doc_ids: each row is a document of its own."""
+    rows = spark.createDataFrame([(None, "a b"), (5, "b"), (5, None), (5, "b"), (None, "a b")], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_tokens) for r in bpe.encode(rows, RANKS).collect())
+    assert got == [(-1, 2), (-1, 2), (5, 0), (5, 1), (5, 1)]
+    packed = packing.pack(packing.pieces(rows, WORDS)).collect()
+    assert sorted((r.doc_id or -1, r.length) for r in packed) == [(-1, 3), (-1, 3), (5, 1), (5, 2), (5, 2)] and packed_well(packed) == 1
+
+
 def test_op3(spark, data):
     rows = bpe.op3_byte_bpe(spark, data).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
@@ -114,13 +151,33 @@ def test_store_round_trip(spark, tmp_path):
 def test_store_notices_damage(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    path = f"file://{tmp_path}/store"
-    token_store.write(table(spark, ["one text", "another"]), path, BYTES)
-    bad = spark.read.parquet(f"{path}/chunks").withColumn("data", F.unhex(F.concat(F.hex("data"), F.lit("0000"))))
-    bad.write.parquet(f"file://{tmp_path}/bad/chunks")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"file://{tmp_path}/bad/recipes")
-    with pytest.raises(Exception, match="does not hold"):
-        token_store.read_checked(spark, f"file://{tmp_path}/bad").collect()
+    path, bad = f"file://{tmp_path}/store", f"file://{tmp_path}/bad"
+    token_store.write(table(spark, ["one text", "another", "one text"]), path, BYTES)
+    parts = {n: spark.read.parquet(f"{path}/{n}") for n in ("chunks", "recipes", "manifest")}
+    lost = parts["chunks"].orderBy("digest").limit(1).select("digest")
+    damage = [
+        ({"chunks": parts["chunks"].withColumn("data", F.unhex(F.concat(F.hex("data"), F.lit("0000"))))}, "does not hold"),
+        ({"chunks": parts["chunks"].join(lost, "digest", "left_anti")}, "missing"),
+        ({"recipes": parts["recipes"].where("doc_id <> 1")}, "do not match"),
+        ({"recipes": parts["recipes"].withColumn("doc_id", F.col("doc_id") + 1)}, "do not match"),
+        ({"recipes": parts["recipes"].withColumn("digests", F.expr("concat(digests, substring(digests, 1, 16))"))}, "Merkle root"),
+        ({"manifest": parts["manifest"].where("part is null")}, "do not match"),
+        ({"manifest": parts["manifest"].where("part is not null")}, "own Merkle root"),
+        ({"manifest": parts["manifest"].withColumn("n_docs", F.when(F.col("part").isNull(), 9).otherwise(F.col("n_docs")))}, "own Merkle root"),
+    ]
+    for changed, match in damage:
+        for name, df in {**parts, **changed}.items():
+            df.write.mode("overwrite").parquet(f"{bad}/{name}")
+        for read in (token_store.read_checked, token_store.read_ids):
+            with pytest.raises(Exception, match=match):
+                read(spark, bad).collect()
+
+
+def test_store_refuses_wide_ids(spark, tmp_path):
+    with pytest.raises(Exception, match="does not fit"):
+        token_store.write(table(spark, ["a text"]), f"file://{tmp_path}/a", BYTES, end_id=70_000)
+    token_store.write(table(spark, ["a text"]), f"file://{tmp_path}/b", BYTES, end_id=70_000, width=4)
+    assert list(token_store.read_ids(spark, f"file://{tmp_path}/b", 4).first().ids)[-1] == 70_000
 
 
 def test_store_of_nothing_and_odd_ids(spark, tmp_path):
