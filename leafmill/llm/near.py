@@ -11,20 +11,25 @@ within REACH are found.
 
 Keys are exchanged as in removal of passages: blocks of signatures send their
 keys, each once, to buckets and get a bit back; only keys that two classes of equal
-sets share become rows. Documents that keys connect are a group. Within a group
-sets are held against each other, exactly, until all that could still be linked
-are in one component; groups beyond a bound are compared part by part. Rows are
-links that were found, never pairs that were tried.
+sets share become rows. Within a key signatures are held against each other, so
+that only documents within REACH are connected, and sets that share a key by
+chance are not: first all against the key's smallest document; then, in keys whose
+documents are not all connected, those beside the largest part against all.
+Documents that are connected are a group. Within a group sets are held against
+each other, exactly, in the same two steps. Keys and groups beyond a bound are cut
+into parts of bounded size. Rows are links that were found, never pairs that were
+tried.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import partitions, ship, store
@@ -38,8 +43,10 @@ SYMBOLS, CHUNKS = 128, 26
 REACH = 2 * CHUNKS - 1
 #: Text bytes that are hashed at once; signatures of a block; keys that a bucket compares.
 BATCH_BYTES, BLOCK_ROWS, BUCKET_KEYS = 4 << 20, 2_000, 4_000_000
-#: Set members that a task holds of one group.
-GROUP_MEMBERS = 1_000_000
+#: Set members that a task holds of one group, and sketches of one key, about; twice as many where others are asked about.
+GROUP_MEMBERS, KEY_ROWS = 100_000, 4_000
+#: How many of a byte's two halves are not zero.
+_HALVES = np.array([(b & 15 > 0) + (b >> 4 > 0) for b in range(256)], np.uint8)
 _random = np.random.Generator(np.random.PCG64(20_250_303))
 _factor = _random.integers(0, 1 << 32, SYMBOLS, np.uint32) | np.uint32(1)
 _shift = _random.integers(0, 1 << 32, SYMBOLS, np.uint32)
@@ -154,63 +161,223 @@ def _members(buckets: int):
     return run
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+class Labels:
+    """Components of 0 to n - 1 that grow together.
+
+    known: components that they form already. home: an index whose component is
+    home, -1 for none; None: the largest component is home.
+    """
+
+    def __init__(self, n: int, known: np.ndarray | None = None, home: int | None = None):
+        self.up = np.arange(n)
+        self.size = np.ones(n, np.int64)
+        if known is not None:
+            _, first, index, counts = np.unique(known, return_index=True, return_inverse=True, return_counts=True)
+            self.up, self.size = first[index], np.zeros(n, np.int64)
+            self.size[first] = counts
+        self.fixed = home is not None
+        self.home = int(self.size.argmax()) if home is None else int(self.up[home]) if home >= 0 else -1
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        found = self.up[nodes]
+        while (above := self.up[found]).tobytes() != found.tobytes():
+            found = above
+        self.up[nodes] = found
+        return found
+
+    def join(self, x: int, others: np.ndarray) -> None:
+        """Puts the components with these roots into that with the root x."""
+        self.up[others] = x
+        self.size[x] += self.size[others].sum()
+        if (self.home in others) if self.fixed else self.size[x] > self.size[self.home] or self.up[self.home] != self.home:
+            self.home = x
+
+
+def spanned(asked: np.ndarray, labels: Labels, like) -> Iterator[tuple[int, int]]:  # noqa: ANN001
+    """Links that join the components under a likeness.
+
+    like(x) gives indices that hold all those like x. Every index of asked that is
+    not at home is held against all others; those that are left over are in one
+    component, so that no pair among them matters.
+    """
+    waiting = asked.tolist()
+    while waiting:
+        later = []
+        for x in waiting:
+            own = int(labels.of(np.array([x]))[0])
+            if own == labels.home:
+                later.append(x)
+                continue
+            found = like(x)
+            roots, first = np.unique(labels.of(found), return_index=True)
+            new = roots != own
+            if new.any():
+                yield from ((x, int(y)) for y in found[first[new]])
+                labels.join(own, roots[new])
+        if len(later) == len(waiting):
+            return
+        waiting = later
+
+
+def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None, asked: np.ndarray | None = None, home: int | None = None) -> list[tuple[int, int]]:
     """Pairs of indices that join the components of sets under 100 * intersection >= percent * union.
 
-    Every set outside the largest component is held against all others; sets
-    that are left over are in one component, so that no pair among them matters.
+    known, home: as Labels takes them; asked: the indices that are to be held
+    against all others, unless they are at home (None: all). Two sets that are so alike share one of
+    the rarest members of each, as many as may be missing and one more; only sets
+    that do are compared.
     """
-    n = len(sets)
+    n, labels = len(sets), Labels(len(sets), known, home)
     sizes = np.array([len(s) for s in sets], np.int64)
-    _, member = np.unique(np.concatenate(sets), return_inverse=True)
+    _, member, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(member, kind="stable")
-    holders, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(member))])
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    label, done, links = np.arange(n), np.zeros(n, np.bool_), []
-    while True:
-        counts = np.bincount(label, minlength=n)
-        left = np.flatnonzero(~done & (label != counts.argmax()))
-        if not len(left):
-            return links
-        x = int(left[0])
-        own = member[begin[x] : begin[x + 1]]
-        length = first[own + 1] - first[own]
-        at = np.repeat(first[own] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        both = np.bincount(holders[at], minlength=n)
-        like = np.flatnonzero((100 * both >= percent * (sizes[x] + sizes - both)) & (both > 0))
-        done[x] = True
-        for other in np.unique(label[like]).tolist():
-            if other != label[x]:
-                links.append((x, int(like[label[like] == other][0])))
-                label[label == other] = label[x]
-
-
-def _grouped(percent: int):
-    """Sorted rows (part, node, members): the links within each part."""
-
-    def flush(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        return [(nodes[a], nodes[b]) for a, b in linked(sets, percent)] if len(nodes) > 1 else []
+    member = rank[member]
+    member = member[np.lexsort((member, owner))]  # each set's members, the rarest first
+    rare = sizes - -(-percent * sizes // 100) + 1
+    chosen = np.arange(len(member)) - begin[owner] < rare[owner]
+    token, holder = member[chosen], owner[chosen]
+    order = np.argsort(token, kind="stable")
+    holder, first = holder[order], np.searchsorted(token[order], np.arange(len(counts) + 1))
+    mark = np.zeros(len(counts), np.bool_)
+
+    def like(x: int) -> np.ndarray:
+        own = member[begin[x] : begin[x] + sizes[x]]
+        near = np.unique(np.concatenate([holder[first[t] : first[t + 1]] for t in own[: rare[x]].tolist()]))
+        near = near[(100 * np.minimum(sizes[near], sizes[x]) >= percent * np.maximum(sizes[near], sizes[x])) & (near != x)]
+        near = near[labels.of(near) != labels.of(np.array([x]))[0]]
+        if not len(near):
+            return near
+        length = sizes[near]
+        ends = np.cumsum(length)
+        at = np.repeat(begin[near] - (ends - length), length) + np.arange(int(ends[-1]))
+        mark[own] = True
+        both = np.add.reduceat(mark[member[at]].astype(np.int64), ends - length)
+        mark[own] = False
+        return near[100 * both >= percent * (sizes[x] + length - both)]
+
+    return list(spanned(np.arange(n) if asked is None else asked, labels, like))
+
+
+def close(sketches: np.ndarray, known: np.ndarray, asked: np.ndarray, home: int | None) -> list[tuple[int, int]]:
+    """Pairs of indices that join the components of sketches (rows of bytes, two symbols in each) within REACH."""
+
+    def like(x: int) -> np.ndarray:
+        found = np.flatnonzero(_HALVES[sketches ^ sketches[x]].sum(1, dtype=np.int64) <= REACH)
+        return found[found != x]
+
+    return list(spanned(asked, Labels(len(sketches), known, home), like))
+
+
+def _in_parts(links_of):  # noqa: ANN001, ANN202
+    """Sorted rows (part, node, label, asked, data): the links within each part.
+
+    label: of the component that a row is known to be in; null: it is at home.
+    Where not all rows of a part are asked, the others are at home or ask elsewhere.
+    links_of(data, labels, asked, home) gives pairs of indices.
+    """
+
+    def flush(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2 or not any(r[2] for r in rows):
+            return []
+        codes: dict = {}
+        nodes, labels, asked = [r[0] for r in rows], np.array([codes.setdefault(r[1], len(codes)) for r in rows]), np.array([r[2] for r in rows])
+        home = None if asked.all() else next((k for k, r in enumerate(rows) if r[1] is None), -1)
+        return [(nodes[a], nodes[b]) for a, b in links_of([r[3] for r in rows], labels, np.flatnonzero(asked), home) if nodes[a] != nodes[b]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nodes, sets = None, [], []
-        found: list[tuple[int, int]] = []
-        for batch in batches:
-            for p, node, raw in zip(*(batch.column(c).to_pylist() for c in range(3))):
+        part, held = None, []
+        for batch in itertools.chain(batches, [None]):
+            found: list[tuple[int, int]] = []
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in range(5))) if batch else [(None,)]:
                 if p != part:
-                    found += flush(nodes, sets)
-                    part, nodes, sets = p, [], []
-                nodes.append(node)
-                sets.append(np.frombuffer(raw, "<u8"))
+                    found += flush(held)
+                    part, held = p, []
+                held.append(row)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-                found = []
-        if found := flush(nodes, sets):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     return run
 
 
+def _all_within(percent: int):  # noqa: ANN202
+    return lambda data, labels, asked, home: linked([np.frombuffer(x, "<u8") for x in data], percent, labels, asked, home)
+
+
+def _sketches_within(data: list[bytes], labels: np.ndarray, asked: np.ndarray, home: int | None) -> list[tuple[int, int]]:
+    sketches = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
+    if len(data) == 2:
+        return [(0, 1)] if _HALVES[sketches[0] ^ sketches[1]].sum(dtype=np.int64) <= REACH else []
+    return close(sketches, labels, asked, home)
+
+
+def dealt(rows: DataFrame, by: str, size: Column, most: int) -> DataFrame:
+    """rows (by, node, label, main and others) with part and asked: those whose label is not main ask all of their group.
+
+    The label becomes null where it is main. A group, by `by`, is cut into parts of about `most` by size; those of its rows
+    that are asked are cut likewise, and each cut of them goes to all parts.
+    """
+    rows = rows.withColumn("asked", F.col("label") != F.col("main")).withColumn("label", F.when(F.col("asked"), F.col("label")))
+    total = rows.groupBy(by).agg(F.ceil(F.sum(size) / most).cast("int").alias("_n"), F.ceil(F.sum(F.when(F.col("asked"), size)) / most).cast("int").alias("_m")).where("_m > 0")
+    rows = rows.join(total, by)
+    own, cut = F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"), F.pmod(F.hash("node"), F.col("_m")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda i, j, asked: F.struct(i.alias("i"), j.alias("j"), asked.alias("a"))
+    present = F.transform(F.filter(every("_m"), lambda i: ~F.col("asked") | (i != cut)), lambda i: place(i, own, F.lit(False)))
+    asking = F.when(F.col("asked"), F.transform(every("_n"), lambda j: place(cut, j, F.lit(True)))).otherwise(F.array().cast("array<struct<i:int,j:int,a:boolean>>"))
+    rows = rows.withColumn("_at", F.explode(F.concat(present, asking))).withColumn("asked", F.col("_at.a"))
+    return rows.withColumn("part", F.xxhash64(by, "_at.i", "_at.j")).drop("_n", "_m", "_at", "main")
+
+
+def _links(parts: DataFrame, data: str, links_of) -> DataFrame:  # noqa: ANN001
+    rows = parts.select("part", "node", "label", "asked", data)
+    n = partitions(parts.sparkSession)
+    return rows.repartition(n, "part").sortWithinPartitions("part", "node").mapInArrow(_in_parts(links_of), "a long, b long")
+
+
+def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their sketches those within REACH."""
+    for batch in batches:
+        if batch.num_rows:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+            near = _HALVES[one ^ other].sum(1, dtype=np.int64) <= REACH
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
+def sketch_of(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each symbol, two symbols a byte: they differ in no more symbols than the signatures do."""
+    low = (signature & np.uint16(15)).astype(np.uint8)
+    return low[:, ::2] | low[:, 1::2] << np.uint8(4)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            found = sketch_of(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "sketch"])
+
+
+def grouped(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """node, root: components of documents that share a key and have sketches within REACH.
+
+    members: key, node; sketches: node, sketch.
+    """
+    leaders = members.groupBy("key").agg(F.min("node").alias("b"))
+    stars = members.join(leaders, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    stars = stars.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    stars = store(stars.select("a", "b", "sa", "sb").mapInArrow(_near_stars, "a long, b long"), "stars")
+    first = store(components(stars), "first")
+    label = F.coalesce("root", "node")
+    found = members.join(first, "node", "left").select("key", "node", label.alias("label"))
+    mixed = found.groupBy("key").agg(F.min_by("label", "node").alias("main"), F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least < _most")
+    rows = found.join(mixed.select("key", "main"), "key")
+    parts = dealt(rows.select("key", "node", "label", "main"), "key", F.lit(1), KEY_ROWS)
+    more = store(_links(parts.join(sketches, "node"), "sketch", _sketches_within), "links")
+    return components(stars.unionByName(more)) if not more.isEmpty() else first
+
+
 def _with_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,20 +412,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     blocks = staged.where("nodes is not null").select("block", "nodes", "signatures")
     shared = blocks.join(bits, "block").select("nodes", "signatures", "entries")
     members = store(shared.mapInArrow(_members(buckets), "key long, node long"), "members")
-    leaders = members.groupBy("key").agg(F.min("node").alias("leader"))
-    stars = members.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    groups = store(components(stars), "groups")
+    short = classes.select("node", "signature").mapInArrow(_sketch, "node long, sketch binary")
+    groups = store(grouped(members, short), "groups")
 
-    sizes = classes.groupBy("node").agg(F.sum("size").alias("size")).join(groups, "node").groupBy("root").agg(F.sum("size").alias("total"))
-    parts = sizes.select("root", F.ceil(2 * F.col("total") / GROUP_MEMBERS).cast("int").alias("parts"))
     texts = docs.join(groups.hint("shuffle_hash"), docs.doc_id == groups.node).select("root", "node", "text")
-    sets = store(texts.mapInArrow(_with_sets(words), "root long, node long, members binary"), "sets").join(parts, "root")
-    # a group of up to GROUP_MEMBERS is one part; a larger one is cut, and each two of its cuts are a part
-    sets = sets.withColumn("_own", F.when(F.col("parts") <= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
-    sets = sets.withColumn("_other", F.explode(F.when(F.col("parts") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    sets = sets.select(F.xxhash64("root", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("part"), "node", "members")
-    links = sets.repartition(partitions(spark), "part").sortWithinPartitions("part", "node").mapInArrow(_grouped(percent), "a long, b long")
+    sets = store(texts.mapInArrow(_with_sets(words), "root long, node long, members binary"), "sets")
+    size = F.octet_length("members") / 8
+    # a group of up to GROUP_MEMBERS is one part; in the parts of a larger one each set is held against the others and the smallest document's
+    total = sets.groupBy("root").agg(F.ceil(F.sum(size) / GROUP_MEMBERS).cast("int").alias("_n"))
+    own = sets.join(total, "root").withColumn("asked", F.lit(True))
+    own = own.withColumn("_at", F.explode(F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")))))
+    inside = own.select(F.xxhash64("root", "_at").alias("part"), "node", F.monotonically_increasing_id().alias("label"), "asked", "members")
+    links = store(_links(inside, "members", _all_within(percent)), "inside")
     roots = components(links)
+    cut = total.where("_n > 1").select("root")
+    if not cut.isEmpty():
+        # those of a cut group that are not joined with its smallest document are held against all of it
+        roots = store(roots, "roots").select("node", F.col("root").alias("label"))
+        rows = sets.join(cut, "root").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        main = rows.where("node = root").groupBy("root").agg(F.min("label").alias("main"))
+        parts = dealt(rows.join(main, "root").select("root", "node", "label", "main", "members"), "root", size, GROUP_MEMBERS)
+        more = store(_links(parts, "members", _all_within(percent)), "across")
+        roots = components(links.unionByName(more)) if not more.isEmpty() else roots.select("node", F.col("label").alias("root"))
 
     by_set = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")

@@ -1,6 +1,7 @@
 """Near-duplicates, repeated passages, fingerprints and components against plain versions."""
 
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -103,9 +104,71 @@ def test_near(spark):
 def test_near_large_groups_in_parts(spark, monkeypatch):
     texts = copies(3, 120)
     monkeypatch.setattr(near, "GROUP_MEMBERS", 200)
+    monkeypatch.setattr(near, "KEY_ROWS", 3)
     assert found_near(table(spark, texts).repartition(5)) == sorted(near_plain(list(enumerate(texts))))
 
 
+def test_near_chains_behind_strangers(spark, monkeypatch):
+    """Chains of texts, each like the next alone, that share most words with all others of their page."""
+    rng = random.Random(11)
+    page = [f"p{k}" for k in range(120)]
+    texts = []
+    for _ in range(25):
+        words = page + [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            at = rng.randrange(120, 190)
+            words = words[:at] + [f"x{rng.randrange(10**6)}" for _ in range(3)] + words[at + 3 :]
+    rng.shuffle(texts)
+    want = sorted(near_plain(list(enumerate(texts))))
+    assert found_near(table(spark, texts)) == want
+    monkeypatch.setattr(near, "GROUP_MEMBERS", 900)
+    monkeypatch.setattr(near, "KEY_ROWS", 7)
+    assert found_near(table(spark, texts)) == want
+    assert 20 < len({r[2] for r in want}) < 120
+
+
+def test_many_small_sets_are_linked_in_time():
+    """100,000 sets that hold one common member, in chains of three."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for k in range(33_334):
+        own = rng.integers(1 << 20, 1 << 60, 10).astype(np.uint64)
+        sets += [np.unique(np.concatenate([[np.uint64(1)], own[a : a + 9]])) for a in (0, 1, 1)]
+    began = time.process_time()
+    links = near.linked(sets, 80)
+    assert time.process_time() - began < 60
+    assert len(links) == 2 * 33_334
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 12), min_size=1, max_size=8), st.integers(0, 3)), min_size=2, max_size=14), st.sampled_from([50, 80]))
+def test_links_of_those_asked(rows, percent):
+    """Every set that is outside the component of label 0, which is home, is held against all; the others are joined already."""
+    sets, labels = [s for s, _ in rows], np.array([v if v == 0 else k + 10 for k, (_, v) in enumerate(rows)])
+    home = int(labels.argmin()) if labels.min() == 0 else -1
+    got = near.linked([np.array(sorted(s), np.uint64) for s in sets], percent, labels, np.flatnonzero(labels != 0), home)
+    like = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    assert all(like(a, b) for a, b in got)
+
+    def roots(links):
+        root = labels.tolist()
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+        return [[r == s for s in root] for r in root]
+
+    assert roots(got) == roots([(a, b) for a in range(len(sets)) for b in range(a) if like(a, b)])
+
+
+def test_sketches_differ_no_more_than_signatures():
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 1 << 16, (50, near.SYMBOLS), np.uint16)
+    b = np.where(rng.random(a.shape) < 0.3, rng.integers(0, 1 << 16, a.shape, np.uint16), a).astype(np.uint16)
+    short = near._HALVES[near.sketch_of(a) ^ near.sketch_of(b)].sum(1)
+    assert (short <= (a != b).sum(1)).all() and short.sum() >= 0.9 * (a != b).sum()
+
+
 def test_near_odd_rows(spark):
     df = spark.createDataFrame([(4, "a b c d e"), (4, "a b c d e"), (9, "A B c d e"), (None, "a b c d e"), (2, None), (1, "x"), (0, "X")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(df).collect())
