@@ -11,10 +11,11 @@ within REACH are found.
 
 Keys are exchanged as in removal of passages: blocks of signatures send their
 keys, each once, to buckets and get a bit back; only keys that two classes of equal
-sets share become rows. Within a key signatures are held against each other, so
-that only documents within REACH are connected, and sets that share a key by
-chance are not: first all against the key's smallest document; then, in keys whose
-documents are not all connected, those beside the largest part against all.
+sets share become rows. Signatures of a key are held against each other, so that
+only documents within REACH are connected, and sets that share a key by chance are
+not: first all against the key's smallest document; then, in keys whose documents
+are not all connected, those beside the largest part against one another and
+against that part, of the key or, where these are fewer rows, of all keys.
 Documents that are connected are a group. Within a group sets are held against
 each other, exactly, in the same two steps. Keys and groups beyond a bound are cut
 into parts of bounded size. Rows are links that were found, never pairs that were
@@ -45,6 +46,8 @@ REACH = 2 * CHUNKS - 1
 BATCH_BYTES, BLOCK_ROWS, BUCKET_KEYS = 4 << 20, 2_000, 4_000_000
 #: Set members that a task holds of one group, and sketches of one key, about; twice as many where others are asked about.
 GROUP_MEMBERS, KEY_ROWS = 100_000, 4_000
+#: Tables of up to so many short rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: How many of a byte's two halves are not zero.
 _HALVES = np.array([(b & 15 > 0) + (b >> 4 > 0) for b in range(256)], np.uint8)
 _random = np.random.Generator(np.random.PCG64(20_250_303))
@@ -313,15 +316,21 @@ def _sketches_within(data: list[bytes], labels: np.ndarray, asked: np.ndarray, h
     return close(sketches, labels, asked, home)
 
 
+def beside(rows: DataFrame, short: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of few columns, which is written down and broadcast if it has few rows."""
+    short = store(short, "short")
+    return rows.join(F.broadcast(short) if short.count() <= BROADCAST_ROWS else short, by, how)
+
+
 def dealt(rows: DataFrame, by: str, size: Column, most: int) -> DataFrame:
     """rows (by, node, label, main and others) with part and asked: those whose label is not main ask all of their group.
 
     The label becomes null where it is main. A group, by `by`, is cut into parts of about `most` by size; those of its rows
     that are asked are cut likewise, and each cut of them goes to all parts.
     """
-    rows = rows.withColumn("asked", F.col("label") != F.col("main")).withColumn("label", F.when(F.col("asked"), F.col("label")))
-    total = rows.groupBy(by).agg(F.ceil(F.sum(size) / most).cast("int").alias("_n"), F.ceil(F.sum(F.when(F.col("asked"), size)) / most).cast("int").alias("_m")).where("_m > 0")
-    rows = rows.join(total, by)
+    rows = rows.withColumn("asked", ~F.col("label").eqNullSafe(F.col("main"))).withColumn("label", F.when(F.col("asked"), F.col("label")))
+    total = rows.groupBy(by).agg(F.ceil(F.sum(size) / most).cast("int").alias("_n"), F.ceil(F.sum(F.when(F.col("asked"), size)) / most).cast("int").alias("_m"))
+    rows = beside(rows, total.where("_m > 0"), by)
     own, cut = F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"), F.pmod(F.hash("node"), F.col("_m")).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda i, j, asked: F.struct(i.alias("i"), j.alias("j"), asked.alias("a"))
@@ -369,11 +378,29 @@ def grouped(members: DataFrame, sketches: DataFrame) -> DataFrame:
     stars = stars.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     stars = store(stars.select("a", "b", "sa", "sb").mapInArrow(_near_stars, "a long, b long"), "stars")
     first = store(components(stars), "first")
-    label = F.coalesce("root", "node")
-    found = members.join(first, "node", "left").select("key", "node", label.alias("label"))
-    mixed = found.groupBy("key").agg(F.min_by("label", "node").alias("main"), F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least < _most")
-    rows = found.join(mixed.select("key", "main"), "key")
-    parts = dealt(rows.select("key", "node", "label", "main"), "key", F.lit(1), KEY_ROWS)
+    found = members.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")).repartition("key")
+    counts = found.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.max("n").alias("n_main"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = store(mixed, "mixed")
+    if mixed.isEmpty():
+        return first
+    aside = store(found.join(mixed.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("label") != F.col("main"))).drop("_key"), "aside")
+    # those aside of a key against one another
+    among = dealt(aside.where("labels > 2").select("key", "node", "label", F.lit(None).cast("long").alias("main")), "key", F.lit(1), KEY_ROWS)
+    # and against its largest part: as the key has it, or as a whole
+    asks = aside.select("main", "node", "label").distinct()
+    whole = first.select("node", F.col("root").alias("label"))
+    sizes = whole.groupBy(F.col("label").alias("main")).agg(F.count("*").alias("n")).join(asks.groupBy("main").agg(F.count("*").alias("q")), "main", "right")
+    in_keys = mixed.groupBy("main").agg(F.sum("n_main").alias("in_keys"))
+    as_whole = F.coalesce("n", F.lit(1)) + F.col("q") * F.ceil(F.coalesce("n", F.lit(1)) / KEY_ROWS) <= F.col("in_keys")
+    chosen = store(sizes.join(in_keys, "main").select("main", as_whole.alias("as_whole")), "chosen")
+    cut = beside(mixed, chosen.where("not as_whole").select("main"), "main", "left_semi").select("key", "main")
+    by_key = dealt(found.join(cut, "key").select("key", "node", "label", "main"), "key", F.lit(1), KEY_ROWS)
+    meant = chosen.where("as_whole").select(F.col("main").alias("group"))
+    home = whole.unionByName(asks.select(F.col("main").alias("node"), F.col("main").alias("label"))).distinct().withColumn("group", F.col("label"))
+    all_rows = home.unionByName(asks.select("node", "label", F.col("main").alias("group")))
+    by_main = dealt(beside(all_rows, meant, "group", "left_semi").withColumn("main", F.col("group")), "group", F.lit(1), KEY_ROWS)
+    parts = among.drop("key").unionByName(by_key.drop("key")).unionByName(by_main.drop("group"))
     more = store(_links(parts.join(sketches, "node"), "sketch", _sketches_within), "links")
     return components(stars.unionByName(more)) if not more.isEmpty() else first
 
@@ -420,18 +447,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     size = F.octet_length("members") / 8
     # a group of up to GROUP_MEMBERS is one part; in the parts of a larger one each set is held against the others and the smallest document's
     total = sets.groupBy("root").agg(F.ceil(F.sum(size) / GROUP_MEMBERS).cast("int").alias("_n"))
-    own = sets.join(total, "root").withColumn("asked", F.lit(True))
+    cut = store(total.where("_n > 1"), "cut")
+    own = beside(sets, cut, "root", "left").withColumn("asked", F.lit(True)).withColumn("_n", F.coalesce("_n", F.lit(1)))
     own = own.withColumn("_at", F.explode(F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")))))
     inside = own.select(F.xxhash64("root", "_at").alias("part"), "node", F.monotonically_increasing_id().alias("label"), "asked", "members")
     links = store(_links(inside, "members", _all_within(percent)), "inside")
     roots = components(links)
-    cut = total.where("_n > 1").select("root")
     if not cut.isEmpty():
         # those of a cut group that are not joined with its smallest document are held against all of it
         roots = store(roots, "roots").select("node", F.col("root").alias("label"))
-        rows = sets.join(cut, "root").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = store(beside(sets, cut.select("root"), "root", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "rows")
         main = rows.where("node = root").groupBy("root").agg(F.min("label").alias("main"))
-        parts = dealt(rows.join(main, "root").select("root", "node", "label", "main", "members"), "root", size, GROUP_MEMBERS)
+        parts = dealt(beside(rows, main, "root").select("root", "node", "label", "main", "members"), "root", size, GROUP_MEMBERS)
         more = store(_links(parts, "members", _all_within(percent)), "across")
         roots = components(links.unionByName(more)) if not more.isEmpty() else roots.select("node", F.col("label").alias("root"))
 
