@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import codes, hashes, ids
@@ -678,13 +678,78 @@ def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(layout.cluster_boxes(own))
 
 
+BOX_CLUSTERS = f"""
+WITH RECURSIVE {_BOXES.format(pages=50).split('pairs AS')[0].rstrip(', ' + chr(10))},
+own AS (SELECT page_no, row_number() OVER (PARTITION BY page_no ORDER BY ord) AS k, {{{{'x0': x0, 't': t, 'x1': x1, 'b': b}}}} AS box FROM boxes),
+steps AS (
+  SELECT page_no, k, [box] AS groups FROM own WHERE k = 1
+  UNION ALL
+  SELECT page_no, k, list_concat(list_filter(groups, lambda g: NOT list_contains(near, g)), [{{{{
+    'x0': list_min(list_transform(list_append(near, box), lambda g: g.x0)), 't': list_min(list_transform(list_append(near, box), lambda g: g.t)),
+    'x1': list_max(list_transform(list_append(near, box), lambda g: g.x1)), 'b': list_max(list_transform(list_append(near, box), lambda g: g.b))}}}}])
+  FROM (SELECT s.page_no, o.k, s.groups, o.box, list_filter(s.groups, lambda g: o.box.x0 - 12 <= g.x1 AND g.x0 <= o.box.x1 + 12 AND o.box.t - 12 <= g.b AND g.t <= o.box.b + 12) AS near
+    FROM steps s JOIN own o ON o.page_no = s.page_no AND o.k = s.k + 1)),
+whole AS (SELECT page_no, list_filter(arg_max(groups, k), lambda g: g.x1 - g.x0 >= 18 AND g.b - g.t >= 18) AS groups FROM steps GROUP BY page_no)
+SELECT 'b' AS book, CAST(page_no AS BIGINT) AS page_no, n AS number, groups[n].x0 AS x0, groups[n].t AS top, groups[n].x1 AS x1, groups[n].b AS bottom
+FROM (SELECT page_no, groups, unnest(range(1, len(groups) + 1)) AS n FROM whole)""".replace("{{", "{").replace("}}", "}")
+
+
+def _set(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Glyphs of rows of pages: book, page_no, separators, repeated and lines (an array of text, x, bottom, size, wide)."""
+    one = rows.select("book", "page_no", "separators", "repeated", F.posexplode("lines").alias("n", "l"))
+    one = one.select("*", F.posexplode(F.split("l.text", "")).alias("k", "text"))
+    x0 = F.col("l.x") + F.col("k") * F.col("l.wide")
+    return one.select("book", "page_no", F.lit(400.0).alias("width"), F.lit(600.0).alias("height"), (F.col("n") * 100_000 + F.col("k")).alias("ord"), "text", x0.alias("x0"), (x0 + F.col("l.wide")).alias("x1"), (F.col("l.bottom") - F.col("l.size")).alias("top"), F.col("l.bottom").alias("bottom"), F.col("l.size").alias("size"), F.lit(None).cast("string").alias("note_id"), F.lit(None).cast("string").alias("note_label"), "separators", F.lit("[]").alias("links"), "repeated")
+
+
+def _set_line(text: Column, x: float, bottom: float, size: float = 10.0, wide: float = 6.0) -> Column:
+    return F.struct(text.alias("text"), F.lit(x).alias("x"), F.lit(bottom).alias("bottom"), F.lit(size).alias("size"), F.lit(wide).alias("wide"))
+
+
 def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents set as pages of glyphs, ten lines of forty signs each, as many as they need, and read back."""
-    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("book"), tx.squeeze("text").alias("t"))
-    glyphs = docs.select("book", F.posexplode(F.split("t", "")).alias("ord", "text")).withColumn("row", F.floor(F.col("ord") % 400 / 40)).withColumn("col", F.col("ord") % 40)
-    top = F.col("row") * 14.0 + 100
-    rows = glyphs.select("book", (F.floor(F.col("ord") / 400) + 1).cast("int").alias("page_no"), F.lit(400.0).alias("width"), F.lit(600.0).alias("height"), "ord", "text", (F.col("col") * 6.0 + 30).alias("x0"), (F.col("col") * 6.0 + 36).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), F.lit(10.0).alias("size"), F.lit(None).cast("string").alias("note_id"), F.lit(None).cast("string").alias("note_label"), F.array().cast("array<double>").alias("separators"), F.lit("[]").alias("links"), F.array().cast("array<string>").alias("repeated"))
-    return longs(layout.read_books(rows).select("book", "page_no", md5("layout").alias("layout")))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("book"), tx.squeeze("text").alias("t")).where("t <> ''")
+    pages = docs.select("book", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 400).cast("int"))).alias("p"))
+    parts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.struct(F.substring("t", F.col("p") * 400 + k * 40 + 1, F.lit(40)).alias("text"), F.lit(30.0).alias("x"), (k * 14.0 + 110.0).alias("bottom"), F.lit(10.0).alias("size"), F.lit(6.0).alias("wide"))), lambda s: s.text != "")
+    pages = pages.select("book", (F.col("p") + 1).alias("page_no"), F.array().cast("array<double>").alias("separators"), F.array().cast("array<string>").alias("repeated"), parts.alias("lines"))
+    found = layout.read(_set(spark, pages))
+    return longs(found.select("book", "page_no", F.size("blocks").alias("n_blocks"), md5("text").alias("text"), F.col("blocks")[0].bbox[3].alias("bottom"), F.size("footnotes").alias("n_notes")))
+
+
+PAGE_LAYOUT = r"""
+WITH docs AS (SELECT CAST(doc_id AS VARCHAR) AS book, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+cut AS (SELECT book, t, unnest(range(0, (length(t) + 39) // 40)) AS k FROM docs WHERE t <> ''),
+own AS (SELECT book, k, k // 10 + 1 AS page_no, trim(substr(t, k * 40 + 1, 40)) AS said FROM cut),
+near AS (SELECT *, lag(said) OVER w AS before, lead(said) OVER w AS after FROM own WINDOW w AS (PARTITION BY book, page_no ORDER BY k)),
+parts AS (SELECT book, page_no, k, CASE WHEN before IS NULL OR (before LIKE '%-' AND regexp_matches(said, '^\p{Ll}')) THEN '' ELSE ' ' END
+  || CASE WHEN said LIKE '%-' AND regexp_matches(after, '^\p{Ll}') THEN left(said, length(said) - 1) ELSE said END AS part FROM near)
+SELECT book, page_no, 1 AS n_blocks, md5(string_agg(part, '' ORDER BY k)) AS text, 110.0 + 14 * max(k % 10) AS bottom, 0 AS n_notes FROM parts GROUP BY book, page_no"""
+
+
+def note_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages: a running header, a heading, prose with a raised mark, an indented line, a page number, and a note below a rule that goes on at the next page."""
+    key = F.col("p_partkey")
+    said = F.col("p_name")
+    mark = F.struct(F.lit("*").alias("text"), (F.length("p_name") * 6.0 + 31).alias("x"), F.lit(135.0).alias("bottom"), F.lit(6.0).alias("size"), F.lit(3.0).alias("wide"))
+    starts = key % 3 != 0
+    note = _set_line(F.when(starts, F.concat(F.lit("* "), "p_brand")).otherwise(F.concat(F.lit("and "), "p_brand")), 30.0, 560.0, 7.0, 4.0)
+    more = _set_line(F.concat(F.lit("see "), "p_type"), 30.0, 569.0, 7.0, 4.0)
+    lines = F.array(_set_line(F.concat(F.lit("Parts "), key.cast("string")), 30.0, 40.0), _set_line(F.col("p_type"), 30.0, 90.0, 16.0, 8.0), _set_line(said, 30.0, 140.0), _set_line(F.lit("goes on with many words of prose"), 30.0, 153.0), _set_line(F.lit("Then another one"), 50.0, 166.0), _set_line(key.cast("string"), 190.0, 595.0), note, more)
+    lines = F.when(starts, F.concat(lines, F.array(mark))).otherwise(lines)
+    pages = table(spark, sf_dir, "part").select(F.floor(key / 50).cast("string").alias("book"), key.cast("int").alias("page_no"), F.array(F.lit(545.0)).alias("separators"), F.array(F.lit("parts #")).alias("repeated"), lines.alias("lines"))
+    found = layout.read(_set(spark, pages))
+    return longs(found.select("page_no", "text", F.size("blocks").alias("n_blocks"), F.array_join(F.transform("footnotes", lambda x: F.concat(x.id, F.lit(" "), x.label, F.lit(" "), x.text)), "|").alias("notes"), F.array_join(F.transform("footnote_continuations", lambda x: F.concat(x.id, F.lit(" "), x.text)), "|").alias("more"), F.size("warnings").alias("n_warnings")))
+
+
+NOTE_PAGES = r"""
+WITH own AS (SELECT *, CAST(p_partkey AS BIGINT) AS no, p_partkey // 50 AS book, CASE WHEN p_partkey % 3 <> 0 THEN printf('fn-p%04d-001', p_partkey) END AS note FROM part),
+last AS (SELECT *, last_value(note IGNORE NULLS) OVER (PARTITION BY book ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM own)
+SELECT no AS page_no, '## ' || p_type || chr(10) || chr(10) || p_name || CASE WHEN note IS NULL THEN '' ELSE '[[FN:' || note || ']]' END || ' goes on with many words of prose' || chr(10) || chr(10) || 'Then another one'
+    || CASE WHEN note IS NULL AND earlier IS NULL THEN chr(10) || chr(10) || 'and ' || p_brand || ' see ' || p_type ELSE '' END AS text,
+  CASE WHEN note IS NULL AND earlier IS NULL THEN 4 ELSE 3 END AS n_blocks,
+  CASE WHEN note IS NULL THEN '' ELSE note || ' * ' || p_brand || ' see ' || p_type END AS notes,
+  CASE WHEN note IS NULL AND earlier IS NOT NULL THEN earlier || ' and ' || p_brand || ' see ' || p_type ELSE '' END AS more, 0 AS n_warnings
+FROM last"""
 
 
 def evidence_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -745,8 +810,9 @@ _queries = dict(
     line_leading=(line_leading, LINE_LEADING),
     separator_lines=(separators, SEPARATORS),
     link_labels=(link_labels, LINK_LABELS),
-    box_clusters=(box_clusters, None),
-    page_layout=(page_layout, None),
+    box_clusters=(box_clusters, BOX_CLUSTERS),
+    page_layout=(page_layout, PAGE_LAYOUT),
+    note_pages=(note_pages, NOTE_PAGES),
 )
 QUERIES = {k: q for k, (q, _) in _queries.items()}
 ORACLES = {k: s for k, (_, s) in _queries.items() if s}
