@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import codes, hashes, ids
 from leafmill.functions import geometry as geo
 from leafmill.functions import text as tx
-from leafmill.operators import contracts, evidence, layout, memo, metrics, notes, overlay, placement, routing, speech
+from leafmill.operators import contracts, evidence, layout, memo, metrics, notes, ocr, overlay, placement, routing, speech
 from leafmill.plans.texts import LINES, documents, lines, longs, md5, table
 from leafmill.sources import readers, writers
 
@@ -752,6 +752,60 @@ SELECT no AS page_no, '## ' || p_type || chr(10) || chr(10) || p_name || CASE WH
 FROM last"""
 
 
+def _note_json(label: str, text: Column, box: str) -> Column:
+    return F.concat(F.lit('{"key": "k'), F.lit(label), F.lit('", "label": "'), F.lit(label), F.lit('", "text": "'), text, F.lit(f'", "bbox": {box}}}'))
+
+
+def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as transcribed pages: plain, in a fence, with a note that comes twice, with two that overlap, with figures, and of the old form."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    one, far, near = (_note_json("1", F.col("p_brand"), box) for box in ("[0, 900, 500, 950]", "[0, 960, 500, 990]", "[0, 925, 500, 975]"))
+    again = F.replace(F.replace(one, F.lit('"k1"'), F.lit('"k2"')), F.lit("950"), F.lit("951"))
+    far, near = (F.replace(x, F.lit('"k1"'), F.lit('"k2"')) for x in (far, near))
+    blocks = F.concat(F.lit('{"blocks": [{"type": "heading", "text": "'), F.col("p_type"), F.lit('"}, {"type": "paragraph", "text": " '), name, F.lit('[[FN:k1]] ", "bbox": [80, 850, 850, 880]}], "footnotes": ['))
+    notes = F.when(key % 6 == 2, F.concat_ws(", ", one, again)).when(key % 6 == 3, F.concat_ws(", ", one, near)).when(key % 12 == 4, F.concat_ws(", ", one, far)).otherwise(one)
+    more = F.when(key % 6 == 4, F.lit('], "figures": [{"bbox": [0, 0, 250, 167]}, {"bbox": [500, 500, 700, 700]}], "footnote_continuations": [{"text": " so "}]}')).otherwise(F.lit("]}"))
+    reply = F.concat(blocks, notes, more)
+    reply = F.when(key % 6 == 1, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).when(key % 6 == 5, F.concat(F.lit(" "), name, F.lit("\n\n"), F.col("p_brand"))).otherwise(reply)
+    image = F.array(F.struct(F.lit("i").alias("id"), F.lit("assets/i.png").alias("path"), key.cast("int").alias("source_page"), F.array(*[F.lit(x) for x in (0.0, 0.0, 100.0, 100.0)]).alias("bbox"), F.lit("scan_background").alias("role")))
+    pages = table(spark, sf_dir, "part").select(key.cast("int").alias("index"), F.lit(400.0).alias("width"), F.lit(600.0).alias("height"), image.alias("images"), reply.alias("reply"))
+    found = ocr.transcribed(pages)
+    out = [F.col("index").alias("page_no"), "problem", *[F.when(F.col("problem").isNull(), c).alias(n) for n, c in {
+        "text": F.col("text"), "notes": F.array_join(F.transform("footnotes", lambda n: F.concat(n.id, F.lit(" "), n.text)), "|"),
+        "images": F.array_join(F.transform("images", lambda i: F.concat(i.id, F.lit(" "), i.role)), "|"), "more": F.array_join(F.transform("footnote_continuations", lambda c: c.text), "|"),
+        "n_warnings": F.size("warnings"), "bottom": F.round(F.element_at("blocks", -1).bbox[3], 6)}.items()]]
+    return longs(found.select(*out))
+
+
+OCR_PAGES = """
+WITH own AS (SELECT *, CAST(p_partkey AS BIGINT) AS page_no, p_partkey % 6 AS kind, printf('fn-p%04d-00', p_partkey) AS note FROM part)
+SELECT page_no, CASE WHEN kind = 3 THEN 'same notes' END AS problem,
+  CASE WHEN kind = 5 THEN p_name || chr(10) || chr(10) || p_brand WHEN kind <> 3 THEN '## ' || p_type || chr(10) || chr(10) || p_name || '[[FN:' || note || '1]]' END AS text,
+  CASE WHEN kind = 5 THEN '' WHEN kind <> 3 THEN note || '1 ' || p_brand || CASE WHEN p_partkey % 12 = 4 THEN '|' || note || '2 ' || p_brand ELSE '' END END AS notes,
+  CASE WHEN kind = 4 THEN 'i illustration|' || printf('figure-p%04d-002', p_partkey) || ' illustration' WHEN kind <> 3 THEN 'i scan_background' END AS images,
+  CASE WHEN kind = 4 THEN 'so' WHEN kind <> 3 THEN '' END AS more,
+  CASE WHEN kind = 5 OR p_partkey % 12 = 4 THEN 1 WHEN kind <> 3 THEN 0 END AS n_warnings, CASE WHEN kind NOT IN (3, 5) THEN 528.0 END AS bottom FROM own"""
+
+
+def anchor_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages whose notes' marks a reply puts into their prose, with faults: other prose, a note that is not used, one that is not known."""
+    key, name, brand = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
+    old = F.concat(name, F.when(key % 2 == 0, F.lit("1")).otherwise(F.lit("[1]")), F.lit(" and "), brand)
+    first = F.when(key % 5 == 2, F.lit("")).when(key % 5 == 3, F.lit("[[FN:z]]")).otherwise(F.lit("[[FN:a]]"))
+    new = F.concat(name, first, F.when(key % 5 == 2, F.when(key % 2 == 0, F.lit("1")).otherwise(F.lit("[1]"))).otherwise(F.lit("")), F.when(key % 5 == 1, F.lit(" or ")).otherwise(F.lit(" and ")), brand, F.lit("[[FN:b]]"))
+    blocks = F.array(F.struct(F.lit("heading").alias("type"), F.lit("T").alias("text")), F.struct(F.lit("paragraph").alias("type"), old.alias("text")))
+    notes = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(label).alias("label")) for i, label in (("a", "1"), ("b", "2"))])
+    reply = F.concat(F.lit('{"blocks": {"0": "T", "1": "'), new, F.lit('"}}'))
+    found = ocr.repaired(table(spark, sf_dir, "part").select(key.alias("page_no"), blocks.alias("blocks"), notes.alias("footnotes"), reply.alias("reply")))
+    return longs(found.select("page_no", "problem", "text"))
+
+
+ANCHOR_REPAIR = """
+WITH own AS (SELECT p_partkey AS page_no, p_partkey % 5 AS kind, p_name, p_brand, CASE WHEN p_partkey % 2 = 0 THEN '1' ELSE '[1]' END AS mark FROM part)
+SELECT page_no, CASE kind WHEN 1 THEN 'prose' WHEN 2 THEN 'unused' WHEN 3 THEN 'anchor' END AS problem,
+  '## T' || chr(10) || chr(10) || p_name || CASE WHEN kind IN (0, 4) THEN '[[FN:a]]' ELSE mark END || ' and ' || p_brand || CASE WHEN kind IN (0, 4) THEN '[[FN:b]]' ELSE '' END AS text FROM own"""
+
+
 def evidence_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evidence.groups(_evidence(spark, sf_dir))
     own = found.select(F.lit("b").alias("book"), "kind", "identity", F.col("first.ord").alias("ord"), F.to_json(F.struct("identity", "candidates")).alias("json"), F.array_distinct(F.flatten(F.transform("candidates", lambda c: F.transform(c.sources, lambda s: s.ord)))).alias("orders"))
@@ -813,6 +867,8 @@ _queries = dict(
     box_clusters=(box_clusters, BOX_CLUSTERS),
     page_layout=(page_layout, PAGE_LAYOUT),
     note_pages=(note_pages, NOTE_PAGES),
+    ocr_pages=(ocr_pages, OCR_PAGES),
+    anchor_repair=(anchor_repair, ANCHOR_REPAIR),
 )
 QUERIES = {k: q for k, (q, _) in _queries.items()}
 ORACLES = {k: s for k, (_, s) in _queries.items() if s}
