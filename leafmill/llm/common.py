@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,24 +62,43 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Cuts that stand in a plan; more ranges are cut out of these by a short table.
+MOST_CUTS = 1000
+
+
+def _below(cuts: Column, known: Column, size: int) -> Column:
+    """How many of ascending cuts lie below a key: the coarse ones, then those of one block."""
+    block = max(1, round(size**0.5))
+    coarse = F.filter(cuts, lambda c, i: i % block == 0)
+    first = F.greatest(F.size(F.filter(coarse, lambda c: c < known)) - 1, F.lit(0)) * block
+    return (first + F.size(F.filter(F.slice(cuts, first + 1, F.lit(block)), lambda c: c < known))).cast("long")
+
+
 def range_ids(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
     """df with a long column that rises with key and deals the rows out about evenly.
 
-    The parts - 1 cuts are approximate quantiles, found by an aggregate; rows
-    with the same key share a range. Null keys are in range 0.
+    The cuts are approximate quantiles, found by an aggregate; rows with the same
+    key share a range. Null keys are in range 0. More than MOST_CUTS parts are cut
+    in two steps: each range by quantiles of its own, which are a table of MOST_CUTS
+    rows with 8 bytes for each part, and broadcast.
     """
     if parts <= 1:
         return df.withColumn(name, F.lit(0).cast("long"))
-    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("c")).first().c or []
+    first = min(parts, MOST_CUTS)
+    quantiles = lambda n: F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)
+    cuts = df.agg(quantiles(first).alias("c")).first().c or []
     cuts = sorted({int(c) for c in cuts})
     if not cuts:
         return df.withColumn(name, F.lit(0).cast("long"))
     known = F.coalesce(F.col(key), F.lit(-(1 << 63)))
-    # the cuts below the key: those of the coarse ones, then those of one block
-    block = max(1, round(len(cuts) ** 0.5))
-    coarse, at = F.array(*[F.lit(c) for c in cuts[::block]]), F.array(*[F.lit(c) for c in cuts])
-    first = F.greatest(F.size(F.filter(coarse, lambda c: c < known)) - 1, F.lit(0)) * block
-    return df.withColumn(name, (first + F.size(F.filter(F.slice(at, first + 1, F.lit(block)), lambda c: c < known))).cast("long"))
+    out = df.withColumn(name, _below(F.array(*[F.lit(c) for c in cuts]), known, len(cuts)))
+    fine = -(-parts // MOST_CUTS)
+    if fine == 1:
+        return out
+    own = out.groupBy(F.col(name).alias("_coarse")).agg(F.array_sort(F.array_distinct(F.coalesce(quantiles(fine), F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>")))).alias("_cuts"))
+    own = F.broadcast(store(own, "cuts"))
+    out = out.join(own, F.col(name) == F.col("_coarse"))
+    return out.withColumn(name, F.col(name) * fine + _below(F.col("_cuts"), known, fine)).drop("_coarse", "_cuts")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -241,11 +241,64 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def plain_print(text):
+    """A fingerprint by single steps, from the tables' bits and the hashes' definitions."""
+    bits = np.random.Generator(np.random.PCG64(20_250_117)).integers(0, 2, (fingerprints.WALKS, fingerprints.PERIOD, fingerprints.STRIDE, 16), np.uint8)
+    mask, size = 0xFFFFFFFF, len(text)
+    hashes = [(ord(c) + 1) * 0x9E3779B1 & mask for c in text] + [0x9E3779B1] * 8
+
+    def seen(k):
+        if k < 3:
+            return (ord(text[k]) * 0x9E3779B1 & mask) >> 28
+        h = sum(hashes[k - j] * (pow(0x85EBCA6B, j, 1 << 32) | 1 if j else 1) for j in range(4)) & mask
+        h ^= h >> 15
+        return (h * 0x2C1B3C6D & mask) >> 28
+
+    level, walks = fingerprints.level_of(size), []
+    for walk in range(fingerprints.WALKS):
+        at, stride, out = 0, 0, []
+        while at < size:
+            if fingerprints.step_levels(np.array([stride]))[0] >= level:
+                out.append(f"{seen(at):x}")
+            for own in bits[walk, stride % fingerprints.PERIOD]:
+                at += int(own[hashes[at] >> 28]) if at < len(hashes) else 0
+            stride += 1
+        walks.append("".join(out))
+    return f"{level:x}:" + "/".join(walks)
+
+
+def test_fingerprints_are_those_of_single_steps():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc déf\U0001f600日 ") for _ in range(n)) for n in (1, 2, 3, 4, 5, 17, 255, 256, 300, 511, 512, 1500, 5000)]
+    assert fingerprints.fingerprints(texts) == [plain_print(t) for t in texts]
+
+
+def test_slow_texts_lose_no_samples():
+    """Texts on which walks hardly move have more samples than others, and keep them all."""
+    bits = np.random.Generator(np.random.PCG64(20_250_117)).integers(0, 2, (fingerprints.WALKS, fingerprints.PERIOD, fingerprints.STRIDE, 16), np.uint8)
+    signs = {(ord(c) + 1) * 0x9E3779B1 % (1 << 32) >> 28: c for c in map(chr, range(32, 300))}
+    steps, text, at = bits[0].reshape(-1, 16), "", 0
+    while len(text) < 500:
+        stay = [int(np.argmax(np.append(steps[at % len(steps) :, c], 1))) for c in range(16)]
+        text += signs[int(np.argmax(stay))]
+        at += max(stay) + 1
+    (own,) = fingerprints.fingerprints([text])
+    assert own == plain_print(text) and max(map(len, own[2:].split("/"))) > 320
+
+
+def test_edits_at_the_start_are_like():
+    rng = random.Random(6)
+    for n in (300, 2000):
+        texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for _ in range(200)]
+        likest = [fingerprints.likeness(*fingerprints.fingerprints([t, "xy" + t])) for t in texts]
+        assert sum(x >= 0.8 for x in likest) >= 0.99 * len(texts)
+
+
 def test_fingerprints():
     texts = [t or "" for t in awkward()]
     prints = fingerprints.fingerprints(texts)
     assert prints == [fingerprints.fingerprints([t])[0] for t in texts]  # whatever stands beside it
-    assert fingerprints.fingerprints(["", "é"])[0] == "0:"
+    assert fingerprints.fingerprints(["", "é"])[0] == "0://"
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
     edits = [text]
@@ -278,6 +331,13 @@ def test_next_documents(spark, monkeypatch):
     assert fingerprints.with_next(table(spark, [])).count() == 0
 
 
+def test_fingerprints_of_odd_ids(spark):
+    """Null and repeated doc_ids: each row is a document, in the order of doc_id (nulls first), then of the text."""
+    rows = spark.createDataFrame([(None, "a b"), (5, "b"), (5, None), (5, "b"), (2, "x" * 9)], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_chars, r.near_next) for r in fingerprints.with_next(rows).collect())
+    assert [g[:2] for g in got] == [(-1, 3), (2, 9), (5, 0), (5, 1), (5, 1)] and got[3][2] == 1.0 or got[4][2] == 1.0
+
+
 def test_op10(spark, data):
     texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()]
     rows = fingerprints.op10_edit_fingerprints(spark, data).collect()

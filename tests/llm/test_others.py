@@ -30,7 +30,17 @@ def test_running_totals(spark, monkeypatch):
         assert got == want
 
 
-def test_ranges_rise_with_the_key(spark):
+def test_ranges_of_few_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_CUTS", 3)
+    df = spark.createDataFrame([(None,), (None,), (4,), (4,), (4,), (9,)], "k long")
+    rows = sorted(((r.k is not None, r.k or 0), r.p) for r in common.range_ids(df, "k", 20, "p").collect())
+    assert len(rows) == 6 and all(a[1] <= b[1] for a, b in itertools.pairwise(rows)) and len({r for r in rows}) == 3
+    assert common.range_ids(df.where("k is null"), "k", 20, "p").count() == 2
+
+
+@pytest.mark.parametrize("most", [1000, 6])
+def test_ranges_rise_with_the_key(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_CUTS", most)
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
     for parts in (1, 5, 130):
         rows = sorted((r.k, r.p) for r in common.range_ids(df, "k", parts, "p").collect())
