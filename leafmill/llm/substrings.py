@@ -5,7 +5,8 @@ whose index modulo PERIOD is in COVER. COVER is a difference cover: for any two
 places there is a shift below PERIOD that puts both on COVER, so two equal windows
 hold the same anchor at the same offset, wherever they begin. Anchors that
 documents share are therefore wherever repeats are; only the windows around them
-are extended to, that is hashed whole and compared exactly.
+are extended to. These are compared by 96 bits of a cryptographic digest of their
+own words, so that neither chance nor a text made for it makes two windows equal.
 
 Documents are read as blocks of some megabytes. A block sends the sorted hashes of
 its anchors, each once, to buckets by hash, and gets back a bit for each; the same
@@ -15,6 +16,7 @@ of all documents holds is one entry a block.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from leafmill.llm.words import Words, words_of
 WINDOW, GRAM, PERIOD, COVER = 13, 7, 7, (0, 1, 3)
 #: Text bytes of a block, of what a bucket compares, and of what a task reads at a time.
 BLOCK_BYTES, BUCKET_BYTES, TASK_BYTES = 4 << 20, 32 << 20, 24 << 20
-#: Tables may not be cut into more parts than this.
+#: Tables may not be cut into more parts than this; beyond it a part has more blocks, which are read one by one.
 MOST_PARTS = 50_000
 ADDED = ("n_words", "n_removed", "kept_text")
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -104,6 +106,30 @@ def _once(hashes: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.n
     return b, k, np.searchsorted(b, np.arange(buckets + 1)), index
 
 
+def _digests(texts: list[bytes], words: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of a digest of the window at each of these places, which ascend."""
+    digest, out = hashlib.blake2b, []
+    owner = words.owner[places]
+    for doc in np.unique(owner).tolist():
+        own, first = texts[doc].split(), int(words.first[doc])
+        out += [digest(b" ".join(own[i : i + WINDOW]), digest_size=12).digest() for i in (places[owner == doc] - first).tolist()]
+    found = np.frombuffer(b"".join(out), np.uint8).reshape(-1, 12)
+    return np.ascontiguousarray(found[:, :8]).view("<u8").ravel(), np.ascontiguousarray(found[:, 8:]).view("<u4").ravel()
+
+
+def _windows(digests: tuple[np.ndarray, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows in the order of bucket, key and rest: key, rest, the first bound of each bucket, and each one's index."""
+    key, rest = digests
+    bucket = key % np.uint64(buckets)
+    order = np.lexsort((rest, key, bucket))
+    b, k, r = bucket[order], key[order], rest[order]
+    new = np.ones(len(b), np.bool_)
+    new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    index = np.empty(len(b), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return k[new], r[new], np.searchsorted(b[new], np.arange(buckets + 1)), index
+
+
 STAGED = "block long, payload binary, bucket int, n int, keys binary, extra binary"
 _STAGED = pa.schema([("block", pa.int64()), ("payload", pa.binary()), ("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 
@@ -155,10 +181,11 @@ def _earlier(group: pd.DataFrame) -> pd.DataFrame:
     """For each block of a bucket, which of its windows a document with a smaller id than any of the block's holds elsewhere."""
     sizes = group["n"].tolist()
     keys = np.concatenate([unpack_sorted(k, n, 8) for k, n in zip(group["keys"], sizes)])
-    least = np.concatenate([unpack_plain(x, n) for x, n in zip(group["extra"], sizes)])
-    order = np.argsort(keys, kind="stable")
+    rest = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(group["extra"], sizes)])
+    least = np.concatenate([unpack_plain(x[4 * n :], n) for x, n in zip(group["extra"], sizes)])
+    order = np.lexsort((rest, keys))
     new = np.ones(len(keys), np.bool_)
-    new[1:] = keys[order][1:] != keys[order][:-1]
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (rest[order][1:] != rest[order][:-1])
     first = np.minimum.reduceat(least[order], np.flatnonzero(new))
     found = np.empty(len(keys), np.bool_)
     found[order] = first[np.cumsum(new) - 1] < least[order]
@@ -190,7 +217,8 @@ def _extended(text_at: int, id_at: int, buckets: int):
             for k in range(batch.num_rows):
                 block, payload, entries = (batch.column(c)[k].as_py() for c in range(3))
                 docs = from_payload(payload)
-                words = words_of(_texts(docs, text_at))
+                texts = _texts(docs, text_at)
+                words = words_of(texts)
                 at, hashes = _anchors(words)
                 if not len(at):
                     continue
@@ -200,15 +228,14 @@ def _extended(text_at: int, id_at: int, buckets: int):
                 # a window at i holds the anchors at i to i + PERIOD - 1
                 upto = np.concatenate([[0], np.cumsum(hit)])
                 near = upto[PERIOD : PERIOD + len(words.hashes)] > upto[: len(words.hashes)]
-                windows, inside = words.runs(WINDOW, 1)
-                places = np.flatnonzero(near & inside)
+                places = np.flatnonzero(near & words.inside(WINDOW))
                 if not len(places):
                     continue
                 rows = [(block, None, -1, len(words.hashes), pack_bits(np.isin(np.arange(len(words.hashes)), places, assume_unique=True)), None)]
-                _, keys, bounds, index = _once(windows[places], buckets, 64)
+                keys, rest, bounds, index = _windows(_digests(texts, words, places), buckets)
                 least = np.full(len(keys), LAST_ID, np.int64)
                 np.minimum.at(least, index, _ids(docs, id_at)[words.owner[places]])
-                rows += [(block, None, b, e - s, pack_sorted(keys[s:e], 8), pack_plain(least[s:e])) for b, (s, e) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())) if e > s]
+                rows += [(block, None, b, e - s, pack_sorted(keys[s:e], 8), rest[s:e].astype("<u4").tobytes() + pack_plain(least[s:e])) for b, (s, e) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())) if e > s]
                 yield _rows(rows)
 
     return run
@@ -224,8 +251,7 @@ def _removed(text_at: int, id_at: int, buckets: int, kept: list[str]):
                 if where := next((e["bits"] for e in entries or [] if e["bucket"] == -1), None):
                     words = words_of(texts)
                     places = np.flatnonzero(unpack_bits(where, len(words.hashes)))
-                    windows, _ = words.runs(WINDOW, 1)
-                    _, keys, bounds, index = _once(windows[places], buckets, 64)
+                    keys, _, bounds, index = _windows(_digests(texts, words, places), buckets)
                     own = _ids(docs, id_at)[words.owner[places]]
                     least = np.full(len(keys), LAST_ID, np.int64)
                     np.minimum.at(least, index, own)

@@ -52,18 +52,21 @@ class Words:
         """Each word's index in its own text."""
         return np.arange(len(self.hashes)) - np.repeat(self.first[:-1], self.counts)
 
+    def inside(self, n: int) -> np.ndarray:
+        """Whether the n words from each word on are all in its text."""
+        out, size, owner = np.zeros(len(self.hashes), np.bool_), max(0, len(self.hashes) - n + 1), self.owner
+        out[:size] = owner[:size] == owner[n - 1 : n - 1 + size]
+        return out
+
     def runs(self, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """A hash of the n words from each word on, and whether these are all in its text."""
         size = max(0, len(self.hashes) - n + 1)
         out = np.full(size, seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
         for k in range(n):
             out += self.hashes[k : k + size] * _factors[(seed * 17 + k) % 64]
-        inside = np.zeros(len(self.hashes), np.bool_)
-        owner = self.owner
-        inside[:size] = owner[:size] == owner[n - 1 : n - 1 + size]
         whole = np.zeros(len(self.hashes), np.uint64)
         whole[:size] = mixed(out)
-        return whole, inside
+        return whole, self.inside(n)
 
 
 def words_of(texts: list[bytes], lower: bool = False) -> Words:

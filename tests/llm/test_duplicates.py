@@ -70,6 +70,19 @@ def test_repeats(spark, monkeypatch):
         assert found_repeats(table(spark, texts)) == plain_repeats(list(enumerate(texts)))
 
 
+def test_windows_of_one_key_are_told_apart(spark, monkeypatch):
+    """Windows are equal only if all 96 bits are: with keys of 4 bits the rest decides."""
+    own = substrings._digests
+    monkeypatch.setattr(substrings, "_digests", lambda *a: (own(*a)[0] % np.uint64(16), own(*a)[1]))
+    texts = [t.encode() for t in copies(5, 40)]
+    words = words_of(texts)
+    places = np.flatnonzero(words.inside(substrings.WINDOW))
+    keys, rest, bounds, index = substrings._windows(substrings._digests(texts, words, places), 3)
+    cut = [t.split() for t in texts]
+    said = [tuple(cut[d][k : k + substrings.WINDOW]) for d, k in zip(words.owner[places].tolist(), (places - words.first[words.owner[places]]).tolist())]
+    assert len(keys) == len(set(said)) and len({(i, w) for i, w in zip(index.tolist(), said)}) == len(keys)
+
+
 def test_repeats_in_many_blocks_and_buckets(spark, monkeypatch):
     texts = copies(9, 200)
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 4000)
