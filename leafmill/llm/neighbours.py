@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import ship, store
 
-#: The sample that the index is fitted to: the rows with the smallest hash of their id.
-SAMPLE, SAMPLE_QUERIES, RECALL = 20_000, 400, 0.975
-PARTS, CODES, MOST_LISTS, ROUNDS = 16, 256, 1024, 8
+#: The sample that the index is fitted to: the rows with the smallest hash of their id, LIST_SAMPLE for each list, SAMPLE at least.
+SAMPLE, LIST_SAMPLE, SAMPLE_QUERIES, RECALL = 20_000, 32, 400, 0.975
+#: There is a list for every four roots of the number of rows, so that lists and vectors in a list grow alike, up to MOST_LISTS.
+PARTS, CODES, MOST_LISTS, ROUNDS = 16, 256, 8192, 8
+#: Numbers of a matrix of distances that are held at once.
+HELD = 4 << 20
 #: Vectors in a block of a list, queries in a group. Of a block, as many vectors as RESCORED are scored exactly for a
 #: query, and all whose approximate score is within MARGIN standard errors of the last of these.
 BLOCK, GROUP, RESCORED, MARGIN = 8192, 512, 64, 2.0
@@ -49,7 +52,13 @@ def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres**2).sum(1)[None] - 2 * x @ centres.T, axis=1)
+    lengths, step = (centres**2).sum(1)[None], max(1, HELD // len(centres))
+    parts = [np.argmin(lengths - 2 * x[a : a + step] @ centres.T, axis=1) for a in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def lists_for(rows: int) -> int:
+    return int(min(MOST_LISTS, max(1, round(rows**0.5 / 4))))
 
 
 @dataclass
@@ -76,7 +85,9 @@ class Index:
         return own, np.column_stack([nearest(rest[:, m], self.books[m]) for m in range(len(self.books))]).astype(np.uint8)
 
     def probe(self, queries: np.ndarray) -> np.ndarray:
-        return np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
+        step = max(1, HELD // len(self.centres))
+        parts = [np.argsort(-(queries[a : a + step] @ self.centres.T), axis=1, kind="stable")[:, : self.probes] for a in range(0, len(queries), step)]
+        return np.concatenate(parts)
 
     def approximate(self, queries: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
         """Scores of the vectors of list own, by tables of queries x parts x CODES."""
@@ -90,7 +101,7 @@ class Index:
 def fit(sample: np.ndarray, rows: int) -> Index:
     """An index for so many rows, fitted to a sample of them, in which equal vectors count once."""
     x = np.unique(sample.astype(np.float32), axis=0)
-    lists = int(min(MOST_LISTS, max(1, round(rows**0.5 / 4)), max(1, len(x) // 32)))
+    lists = min(lists_for(rows), max(1, len(x) // LIST_SAMPLE))
     centres = kmeans(x, lists, 1)
     width = -(-x.shape[1] // PARTS)
     index = Index(centres, np.zeros((PARTS, CODES, width), np.float32), lists)
@@ -100,8 +111,8 @@ def fit(sample: np.ndarray, rows: int) -> Index:
     lost = rest - np.stack([index.books[m][codes[:, m]] for m in range(PARTS)], 1)
     index.error = float(np.sqrt((lost**2).sum((1, 2)).mean() / x.shape[1]))
     asked = x[:: max(1, len(x) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
-    scores = asked @ x.T
-    best = np.argpartition(-scores, min(NEAREST, len(x) - 1), axis=1)[:, : NEAREST + 1]
+    step = max(1, HELD // len(x))
+    best = np.concatenate([np.argpartition(-(asked[a : a + step] @ x.T), min(NEAREST, len(x) - 1), axis=1)[:, : NEAREST + 1] for a in range(0, len(asked), step)])
     order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(lists), order.shape).copy(), 1)
@@ -205,7 +216,7 @@ def search(vectors: DataFrame, queries: Column, most: int = NEAREST) -> DataFram
         return empty
     dimensions, n_rows = sizes[0]["d"], sizes[0]["count"]
     rows = rows.where(F.size("embedding") == dimensions)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, LIST_SAMPLE * lists_for(n_rows))).select("embedding").toArrow().column(0).combine_chunks()
     index = fit(_matrix(sample, dimensions), n_rows)
 
     entry = "digest binary, ids array<long>, list int, codes binary, vector binary"
