@@ -109,10 +109,10 @@ def _once(hashes: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.n
 def _digests(texts: list[bytes], words: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64 and 32 bits of a digest of the window at each of these places, which ascend."""
     digest, out = hashlib.blake2b, []
-    owner = words.owner[places]
-    for doc in np.unique(owner).tolist():
-        own, first = texts[doc].split(), int(words.first[doc])
-        out += [digest(b" ".join(own[i : i + WINDOW]), digest_size=12).digest() for i in (places[owner == doc] - first).tolist()]
+    cut = np.searchsorted(places, words.first)
+    for doc in np.flatnonzero(np.diff(cut)).tolist():
+        own = texts[doc].split()
+        out += [digest(b" ".join(own[i : i + WINDOW]), digest_size=12).digest() for i in (places[cut[doc] : cut[doc + 1]] - words.first[doc]).tolist()]
     found = np.frombuffer(b"".join(out), np.uint8).reshape(-1, 12)
     return np.ascontiguousarray(found[:, :8]).view("<u8").ravel(), np.ascontiguousarray(found[:, 8:]).view("<u4").ravel()
 
