@@ -92,17 +92,58 @@ def check_shards(rows, shards):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
-def test_reshard(spark, tmp_path):
+def laid_out(spark, docs, old, path, shards, monkeypatch):
+    """Rows before and after, and files before and after, of a layout of many small files."""
+    monkeypatch.setattr(sharding, "TASK_BYTES", 4000)
+    sharding.lay_out(docs, old, path)
+    before, files = sharding.read_shards(spark, path, 0).collect(), sharding.files_of(spark, path, 0)[0]
+    version = sharding.reshard(spark, path, 0, shards)
+    return before, sharding.read_shards(spark, path, version).collect(), files, sharding.files_of(spark, path, version)[0]
+
+
+def test_reshard(spark, tmp_path, monkeypatch):
     texts = awkward() * 4
     docs = table(spark, texts, shard="clash", extra=1)
     docs = docs.unionByName(docs.where("doc_id in (3, 5)")).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
-    written = sharding.reshard(docs, F.when(F.col("doc_id") % 3 > 0, F.lit(9)).otherwise(F.lit(2)), f"file://{tmp_path}/s", 5)
-    rows = written.collect()
-    assert written.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra", "slot", "moved", "shard"]
+    before, rows, *_ = laid_out(spark, docs, F.when(F.col("doc_id") % 3 > 0, F.lit(9)).otherwise(F.lit(2)), f"file://{tmp_path}/s", 5, monkeypatch)
+    assert list(rows[0].asDict()) == ["doc_id", "text", "lang", "source", "n_chars", "extra", "shard", "slot"]
     check_shards(rows, 5)
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "", r.text is None)
-    assert sorted(map(key, rows)) == sorted(map(key, docs.collect()))
-    assert sharding.reshard(table(spark, []), F.lit(0), f"file://{tmp_path}/e", 5).count() == 0
+    assert sorted(map(key, rows)) == sorted(map(key, before)) == sorted(map(key, docs.collect()))
+    assert {r.shard for r in before} == {2, 9}
+    assert laid_out(spark, table(spark, []), F.lit(0), f"file://{tmp_path}/e", 5, monkeypatch)[1] == []
+
+
+def test_files_that_lose_nothing_stay(spark, tmp_path, monkeypatch):
+    """Two shards lose a few of their smallest rows: most files keep their path and bytes, and the fewest bytes move."""
+    rng = random.Random(5)
+    texts = ["x" * rng.randrange(1, 3000) for _ in range(600)]
+    owner = [0] * 230 + [1] * 210 + [2] * 160
+    docs = spark.createDataFrame([(k, t, s) for k, (t, s) in enumerate(zip(texts, owner))], "doc_id long, text string, s int").repartition(4)
+    path = tmp_path / "s"
+    stamp = lambda f: (os.stat("/" + f.removeprefix("file:").lstrip("/")).st_mtime_ns, open("/" + f.removeprefix("file:").lstrip("/"), "rb").read())
+    monkeypatch.setattr(sharding, "TASK_BYTES", 20_000)
+    sharding.lay_out(docs, F.col("s"), f"file://{path}")
+    files = sharding.files_of(spark, f"file://{path}", 0)[0]
+    assert len(files) > 30
+    bytes_before = {f: stamp(f) for f, *_ in files}
+    version = sharding.reshard(spark, f"file://{path}", 0, 3)
+    after, rows = sharding.files_of(spark, f"file://{path}", version)[0], sharding.read_shards(spark, f"file://{path}", version).collect()
+    check_shards(rows, 3)
+    stayed = {f for f, *_ in files} & {f for f, *_ in after}
+    assert len(stayed) > 0.8 * len(files) and all(stamp(f) == bytes_before[f] for f in stayed)
+    moved = [len(r.text) for r in rows if r.shard != owner[r.doc_id]]
+    least = [sorted(len(t) for t, s in zip(texts, owner) if s == k)[: n - 200] for k, n in ((0, 230), (1, 210))]
+    assert sorted(moved) == sorted(sum(least, [])) and len(moved) == 40
+    again = sharding.reshard(spark, f"file://{path}", version, 3)  # nothing is left to do
+    assert sharding.files_of(spark, f"file://{path}", again)[0] == after
+
+
+def test_many_rows_of_one_size(spark, tmp_path, monkeypatch):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("same").alias("text")).repartition(3)
+    _, rows, files, _ = laid_out(spark, docs, F.lit(7), f"file://{tmp_path}/s", 6, monkeypatch)
+    check_shards(rows, 6)
+    assert sorted(r.doc_id for r in rows) == list(range(500)) and len(files) == 8 and max(f[2] for f in files) < 120
 
 
 def test_op2(spark, data):
