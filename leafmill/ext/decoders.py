@@ -29,9 +29,13 @@ def decoded_pages(files: DataFrame, decoder: Callable[[bytes], Iterable[dict]])
 
 
 def plain_text(content: bytes, columns: int = 60, rows: int = 40) -> Iterable[dict]:
-    """A stand-in: text set in one size, a page for each form feed."""
-    for page, text in enumerate(content.decode().split("\f"), 1):
-        lines = text.split("\n")[:rows]
-        for k, sign in ((r * columns + c, x) for r, line in enumerate(lines) for c, x in enumerate(line[:columns])):
-            x, top = 30 + 6.0 * (k % columns), 40 + 13.0 * (k // columns)
-            yield {"page_no": page, "width": 420.0, "height": 595.0, "ord": k, "text": sign, "x0": x, "x1": x + 6, "top": top, "bottom": top + 10, "size": 10.0}
+    """A stand-in: text set in one size; a form feed, or a full page, begins a new one, and long lines go on in the next."""
+    page = 0
+    for text in content.decode().split("\f"):
+        lines = [line[at : at + columns] for line in text.split("\n") for at in range(0, max(1, len(line)), columns)]
+        for begin in range(0, max(1, len(lines)), rows):
+            page += 1
+            for r, line in enumerate(lines[begin : begin + rows]):
+                for c, sign in enumerate(line):
+                    x, top = 30 + 6.0 * c, 40 + 13.0 * r
+                    yield {"page_no": page, "width": 420.0, "height": 595.0, "ord": r * columns + c, "text": sign, "x0": x, "x1": x + 6, "top": top, "bottom": top + 10, "size": 10.0}

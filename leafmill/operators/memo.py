@@ -64,6 +64,7 @@ def imported(files: DataFrame) -> DataFrame:
 
 
 def code_fingerprint(files: DataFrame) -> DataFrame:
-    """One row, fingerprint: sha256 over files (path, content) in order of their paths, each ended by a zero byte."""
-    part = F.concat(F.hex(F.col("path").cast("binary")), F.lit("00"), F.hex("content"), F.lit("00"))
-    return files.agg(F.sha2(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", part.alias("h")))), lambda x: x.h), "")), 256).alias("fingerprint"))
+    """One row, fingerprint: sha256 over each file's path and sha256 (path, content), in order of the paths, a line each."""
+    part = F.concat(F.col("path"), F.lit("\n"), F.sha2("content", 256), F.lit("\n"))
+    rows = files.select("path", part.alias("h"))
+    return rows.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "h"))), lambda x: x.h), "").cast("binary"), 256).alias("fingerprint"))

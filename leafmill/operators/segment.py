@@ -77,11 +77,16 @@ def entries(blocks: DataFrame, titles: DataFrame, notes: DataFrame) -> DataFrame
 def language_samples(blocks: DataFrame, n: int = SAMPLE_CHARS) -> DataFrame:
     """book, sample_no, sample: prose at the start, middle and end of each book; a short book as a whole."""
     prose = blocks.where("type = 'paragraph'").withColumn("text", tx.strip("text")).where((F.col("text") != "") & ~tx.is_heading("text"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "ord", "text"))), lambda x: x.text), "\n\n")
-    books = prose.groupBy("book").agg(whole.alias("_t"))
-    size = F.length("_t")
-    starts = F.when(size <= n, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.floor((size - n) / 2).cast("int"), size - n))
-    return books.select("book", "_t", F.posexplode(starts).alias("sample_no", "_s")).select("book", "sample_no", F.substring("_t", F.col("_s") + 1, F.lit(n)).alias("sample"))
+    # paragraphs are laid end to end, an empty line after each; only what the samples touch is put together
+    prose = prose.withColumn("_end", F.sum(F.length("text") + 2).over(Window.partitionBy("book").orderBy("page_no", "ord"))).withColumn("_begin", F.col("_end") - F.length("text") - 2)
+    total = prose.groupBy("book").agg((F.max("_end") - 2).alias("_total"))
+    starts = F.when(F.col("_total") <= n, F.array(F.lit(0).cast("long"))).otherwise(F.array(F.lit(0).cast("long"), F.floor((F.col("_total") - n) / 2), F.col("_total") - n))
+    rows = prose.join(total, "book").select("book", "text", "_begin", "_end", "_total", F.posexplode(starts).alias("sample_no", "_from"))
+    rows = rows.withColumn("_to", F.least(F.col("_from") + n, "_total")).where("_begin < _to AND _end > _from")
+    first = F.greatest(F.col("_from"), "_begin")
+    piece = F.substring(F.concat("text", F.lit("\n\n")), (first - F.col("_begin") + 1).cast("int"), (F.least("_to", "_end") - first).cast("int"))
+    own = F.sort_array(F.collect_list(F.struct("_begin", piece.alias("t"))))
+    return rows.groupBy("book", "sample_no").agg(F.array_join(F.transform(own, lambda x: x.t), "").alias("sample"))
 
 
 def unanimous(answers: DataFrame, key: str = "book", answer: str = "lang") -> DataFrame:

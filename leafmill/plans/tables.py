@@ -412,15 +412,15 @@ k AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY NOT back, NOT be
 SELECT ref_id, def_id FROM k WHERE n = 1"""
 
 
-def _boxes(spark: SparkSession, sf_dir: str, pages: int) -> DataFrame:
-    """Vectors' first four components as boxes on a page of 100 by 100, on pages of a few boxes."""
+def _boxes(spark: SparkSession, sf_dir: str, each: int) -> DataFrame:
+    """Vectors' first four components as boxes, so many on each page of 100 by 100."""
     e = [F.abs(F.col("embedding")[k].cast("double")) for k in range(4)]
     own = geo.box(e[0] * 100, e[1] * 100, e[0] * 100 + e[2] * 200 + 1, e[1] * 100 + e[3] * 200 + 1)
-    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") % pages).cast("int").alias("page_no"), F.col("vec_id").alias("ord"), (F.col("label") % 3).cast("string").alias("label"), own.alias("box"))
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / each).cast("int").alias("page_no"), F.col("vec_id").alias("ord"), (F.col("label") % 3).cast("string").alias("label"), own.alias("box"))
 
 
 _BOXES = """boxes AS (
-  SELECT CAST(vec_id % {pages} AS INT) AS page_no, vec_id AS ord, CAST(label % 3 AS VARCHAR) AS label, abs(embedding[1]::DOUBLE) * 100 AS x0, abs(embedding[2]::DOUBLE) * 100 AS t,
+  SELECT CAST(vec_id // {each} AS INT) AS page_no, vec_id AS ord, CAST(label % 3 AS VARCHAR) AS label, abs(embedding[1]::DOUBLE) * 100 AS x0, abs(embedding[2]::DOUBLE) * 100 AS t,
     abs(embedding[1]::DOUBLE) * 100 + abs(embedding[3]::DOUBLE) * 200 + 1 AS x1, abs(embedding[2]::DOUBLE) * 100 + abs(embedding[4]::DOUBLE) * 200 + 1 AS b FROM embeddings),
 pairs AS (
   SELECT a.page_no, a.label AS la, b.label AS lb, a.ord AS oa, b.ord AS ob,
@@ -431,44 +431,44 @@ pairs AS (
 
 
 def note_box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(placement.note_classes(_boxes(spark, sf_dir, 25).withColumn("text", F.lit("same  text"))))
+    return longs(placement.note_classes(_boxes(spark, sf_dir, each=20).withColumn("text", F.lit("same  text"))))
 
 
 NOTE_BOX_PAIRS = f"""
-WITH {_BOXES.format(pages=25)}
+WITH {_BOXES.format(each=20)}
 SELECT CAST(page_no AS BIGINT) AS page_no, oa AS ord, ob AS other, CASE WHEN common / (aa + ab - common) >= 0.8 THEN 'same' WHEN common > 0 THEN 'ambiguous' ELSE 'distinct' END AS verdict
 FROM pairs WHERE oa < ob AND la = lb"""
 
 
 def figure_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _boxes(spark, sf_dir, 5)
+    own = _boxes(spark, sf_dir, each=100)
     return longs(placement.figure_matches(own.where("ord % 2 = 0"), own.where("ord % 2 = 1")))
 
 
 FIGURE_MATCHES = f"""
-WITH {_BOXES.format(pages=5)}
+WITH {_BOXES.format(each=100)}
 SELECT CAST(f.page_no AS BIGINT) AS page_no, f.ord AS figure_ord, min(p.oa) AS image_ord FROM boxes f
 LEFT JOIN pairs p ON p.page_no = f.page_no AND p.ob = f.ord AND p.oa % 2 = 1 AND common / greatest(1, aa + ab - common) > 0.75
 WHERE f.ord % 2 = 0 GROUP BY f.page_no, f.ord"""
 
 
 def outside_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _boxes(spark, sf_dir, 5)
+    own = _boxes(spark, sf_dir, each=100)
     return longs(placement.outside_of(own.where("ord % 2 = 0"), own.where("ord % 2 = 1")).select("page_no", "ord"))
 
 
 OUTSIDE_BOXES = f"""
-WITH {_BOXES.format(pages=5)}
+WITH {_BOXES.format(each=100)}
 SELECT CAST(page_no AS BIGINT) AS page_no, ord FROM boxes WHERE ord % 2 = 0 AND ord NOT IN (SELECT ob FROM pairs WHERE oa % 2 = 1 AND holds)"""
 
 
 def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _boxes(spark, sf_dir, 5)
+    own = _boxes(spark, sf_dir, each=100)
     hits = placement.first_line_hit(own.where("ord % 2 = 0").withColumnRenamed("ord", "annotation_id"), own.where("ord % 2 = 1").withColumnRenamed("ord", "line_no"))
     return longs(hits)
 
 
-LINE_HITS = f"WITH {_BOXES.format(pages=5)} SELECT ob AS annotation_id, min(oa) AS line_no FROM pairs WHERE ob % 2 = 0 AND oa % 2 = 1 AND meets GROUP BY ob"
+LINE_HITS = f"WITH {_BOXES.format(each=100)} SELECT ob AS annotation_id, min(oa) AS line_no FROM pairs WHERE ob % 2 = 0 AND oa % 2 = 1 AND meets GROUP BY ob"
 
 
 def scan_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -488,11 +488,11 @@ SELECT page_no, full_scan, partial_scan, CASE WHEN n >= 50 AND NOT full_scan AND
 
 
 def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(_boxes(spark, sf_dir, 1).select("ord", geo.shown_size(F.col("box")).alias("size"), geo.valid_thousandths(F.array(*[F.col("box")[k] for k in ("x0", "top", "x1", "bottom")])).alias("valid")))
+    return longs(_boxes(spark, sf_dir, each=1000000000).select("ord", geo.shown_size(F.col("box")).alias("size"), geo.valid_thousandths(F.array(*[F.col("box")[k] for k in ("x0", "top", "x1", "bottom")])).alias("valid")))
 
 
 IMAGE_SIZES = f"""
-WITH {_BOXES.format(pages=1).split('pairs AS')[0].rstrip(', ' + chr(10))},
+WITH {_BOXES.format(each=1000000000).split('pairs AS')[0].rstrip(', ' + chr(10))},
 w AS (SELECT *, greatest(20, least(100, CAST(round_even((x1 - x0) / 420 * 100, 0) AS INT))) AS p FROM boxes)
 SELECT ord, CASE WHEN b - t > 0 AND p / greatest(0.01, (x1 - x0) / (b - t)) > 90 THEN 'height: 65%' ELSE 'width: ' || p || '%' END AS size, true AS valid FROM w"""
 
@@ -674,12 +674,12 @@ SELECT p_partkey, CASE WHEN p_partkey % 4 <> 2 AND p_size % 4 <> 3 THEN ['12', '
 
 
 def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _boxes(spark, sf_dir, 50).select(F.lit("b").alias("book"), "page_no", "ord", "box.x0", "box.top", "box.x1", "box.bottom")
+    own = _boxes(spark, sf_dir, each=10).select(F.lit("b").alias("book"), "page_no", "ord", "box.x0", "box.top", "box.x1", "box.bottom")
     return longs(layout.cluster_boxes(own))
 
 
 BOX_CLUSTERS = f"""
-WITH RECURSIVE {_BOXES.format(pages=50).split('pairs AS')[0].rstrip(', ' + chr(10))},
+WITH RECURSIVE {_BOXES.format(each=10).split('pairs AS')[0].rstrip(', ' + chr(10))},
 own AS (SELECT page_no, row_number() OVER (PARTITION BY page_no ORDER BY ord) AS k, {{{{'x0': x0, 't': t, 'x1': x1, 'b': b}}}} AS box FROM boxes),
 steps AS (
   SELECT page_no, k, [box] AS groups FROM own WHERE k = 1

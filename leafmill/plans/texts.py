@@ -233,6 +233,10 @@ def split_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rows.select("doc_id", "number", F.octet_length("chunk").alias("n_bytes"), md5("chunk").alias("chunk")))
 
 
+SPLIT_BYTES = SPLIT_CHARS.replace("1800", "most").replace("SELECT doc_id, number, rest, CASE", "SELECT doc_id, number, rest, least(2000, list_max(list_filter(range(0, 901), lambda k: strlen(left(rest, k)) <= 900))) AS most, CASE")
+SPLIT_BYTES = SPLIT_BYTES.replace("length(chunk) AS n_chars", "strlen(chunk) AS n_bytes")
+
+
 def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole document with anchors of two notes behind it; notes are fn-p0000-000 to fn-p0039-000."""
     mark = lambda n: F.concat(F.lit("[[FN:fn-p"), F.lpad(n.cast("string"), 4, "0"), F.lit("-000]]"))
@@ -467,6 +471,23 @@ def book_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(found.select("chunk_key", "kind", "n_paragraphs", "words", md5("text").alias("text"), md5("context_before").alias("before"), md5("context_after").alias("after")))
 
 
+BOOK_CHUNKS = rf"""
+WITH RECURSIVE own AS (
+  SELECT doc_id, CASE WHEN doc_id % 29 = 3 THEN 'footnotes' ELSE 'ch' || lang END AS chapter, text, {WORDS.format('text')} AS n FROM documents),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY doc_id) AS k FROM own),
+packed AS (
+  SELECT chapter, k, doc_id, n, 0 AS chunk, n AS held FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT o.chapter, o.k, o.doc_id, o.n, CASE WHEN p.held + o.n > 1200 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.held + o.n > 1200 THEN o.n ELSE p.held + o.n END
+  FROM packed p JOIN ordered o ON o.chapter = p.chapter AND o.k = p.k + 1),
+chunks AS (
+  SELECT p.chapter, p.chunk, count(*) AS n_paragraphs, CAST(sum(p.n) AS BIGINT) AS words, string_agg(o.text, chr(10) || chr(10) ORDER BY p.doc_id) AS text
+  FROM packed p JOIN own o USING (doc_id) GROUP BY p.chapter, p.chunk)
+SELECT chapter || '-' || chunk AS chunk_key, CASE WHEN chapter = 'footnotes' THEN 'footnotes' ELSE 'prose' END AS kind, n_paragraphs, words, md5(text) AS text,
+  md5(coalesce({_LAST.format('lag(text) OVER w').replace('40', '400')}, '')) AS before, md5(coalesce({_FIRST.format('lead(text) OVER w').replace('40', '400')}, '')) AS after
+FROM chunks WINDOW w AS (PARTITION BY chapter ORDER BY chunk)"""
+
+
 _queries = dict(
     word_counts=(word_counts, f"SELECT doc_id, {WORDS.format('text')} AS n_words, length(text) AS n_chars, strlen(text) AS n_bytes FROM documents"),
     source_statistics=(source_statistics, f"WITH {LINES} SELECT source, count(*) AS n_paragraphs, CAST(sum({WORDS.format('line')}) AS BIGINT) AS n_words, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM lines GROUP BY source"),
@@ -477,12 +498,12 @@ _queries = dict(
     margin_keys=(margin_keys, MARGIN_KEYS),
     book_paragraphs=(book_paragraphs, BOOK_PARAGRAPHS),
     greedy_pack_1200=(greedy_pack, GREEDY_PACK),
-    book_chunks=(book_chunks, None),
+    book_chunks=(book_chunks, BOOK_CHUNKS),
     chunk_context=(chunk_context, CHUNK_CONTEXT),
     speech_context=(speech_context, SPEECH_CONTEXT),
     band_join_synopses=(synopses_around, SYNOPSES_AROUND),
     split_text_1800=(split_chars, SPLIT_CHARS),
-    split_text_bytes=(split_bytes, None),
+    split_text_bytes=(split_bytes, SPLIT_BYTES),
     first_references=(first_references, FIRST_REFERENCES),
     dangling_anchors=(dangling_anchors, DANGLING_ANCHORS),
     note_readers=(note_readers, NOTE_READERS),

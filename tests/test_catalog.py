@@ -24,6 +24,10 @@ def test_entry(spark):
     assert df.count() > 0
 
 
+def test_all_but_one_have_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"pack_with_byte_budget"}
+
+
 def test_names():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

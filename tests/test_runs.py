@@ -177,8 +177,11 @@ def test_decoded_pages(spark):
     from leafmill.operators import layout
 
     files = spark.createDataFrame([("j", bytearray(b"One line\ngoes on\fPage two"))], "job_id string, content binary")
-    found = layout.read_books(decoders.decoded_pages(files, decoders.plain_text)).orderBy("page_no").collect()
-    assert [json.loads(r.layout)["text"] for r in found] == ["One line goes on", "Page two"]
+    found = layout.read(decoders.decoded_pages(files, decoders.plain_text)).orderBy("page_no").collect()
+    assert [r.text for r in found] == ["One line goes on", "Page two"]
+    text = "\n".join([f"line {k} " + "x" * 100 for k in range(50)])
+    every = decoders.decoded_pages(spark.createDataFrame([("j", bytearray(text.encode()))], "job_id string, content binary"), decoders.plain_text)
+    assert every.count() == len(text) - 49 and every.agg({"page_no": "max"}).first()[0] == 3
 
 
 def test_stitched_wav(spark, tmp_path):
