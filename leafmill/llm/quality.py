@@ -164,14 +164,16 @@ def held_out(doc_id: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """Fits a model to labels.quality of documents that are not held out.
 
-    docs: doc_id, text. labels: doc_id, quality (null: no label; several labels of
-    one document: their majority). At most `most` labelled documents are used.
+    docs: doc_id, text; of several rows of one doc_id the one with the smallest
+    text counts, where null is empty. labels: doc_id, quality (null: no label;
+    several labels of one document: their majority, 1 at a tie). At most `most`
+    labelled documents are used, those with the smallest hash of their ids.
     """
     own = labels.where("doc_id is not null and quality is not null").where(~held_out("doc_id"))
     own = own.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # a bounded sample, and so fit to be broadcast
     names = list(statistics(F.col("text")))
-    picked = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id"])
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = picked.select("doc_id", "label", *[c.alias(n) for n, c in statistics(F.col("text")).items()]).toPandas().sort_values("doc_id")
     return fit(rows[names].to_numpy(np.float64), rows["label"].to_numpy(np.float64), names)
 

@@ -259,6 +259,21 @@ def test_quality_of_odd_tables(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_labels_and_rows_that_disagree(spark, monkeypatch):
+    """A tie of labels is 1; of several rows of a doc_id the smallest text is learnt from, wherever it stands."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, names: seen.append((x.tolist(), y.tolist())))
+    held = [r.doc_id for r in spark.range(50).select(F.col("id").alias("doc_id")).where(~quality.held_out("doc_id")).limit(3).collect()]
+    a, b, c = held
+    labels = spark.createDataFrame([(a, 1), (a, 0), (b, 0), (b, 0), (b, 1), (c, 1)], "doc_id long, quality int")
+    rows = [(a, "a text"), (a, "b much longer text of many words"), (b, "one"), (c, "words words"), (c, None)]
+    for own in (rows, rows[::-1]):
+        quality.train(spark.createDataFrame(own, "doc_id long, text string").repartition(3), labels)
+    assert seen[0] == seen[1] and seen[0][1] == [1.0, 0.0, 1.0]
+    quality.train(spark.createDataFrame([(a, "a text"), (b, "one"), (c, "")], "doc_id long, text string"), labels)
+    assert seen[2] == seen[0]
+
+
 def test_expression_equals_rules(spark):
     rng = np.random.default_rng(3)
     x = rng.random((800, 2))
