@@ -81,6 +81,8 @@ def called(items: DataFrame, factory: Callable[[], object], attempts: int = 2, p
                         break
                     except RuntimeError as e:
                         error = f"{type(e).__name__}: {e}"
+                        if getattr(e, "code", None):  # a client that knows has tried enough
+                            break
                 rows.append((key, payload, "failed" if error else "success", error, time.monotonic() - begun))
             yield pd.DataFrame(rows, columns=["key", "payload", "status", "error", "seconds"])
 

@@ -68,3 +68,16 @@ def code_fingerprint(files: DataFrame) -> DataFrame:
     part = F.concat(F.col("path"), F.lit("\n"), F.sha2("content", 256), F.lit("\n"))
     rows = files.select("path", part.alias("h"))
     return rows.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "h"))), lambda x: x.h), "").cast("binary"), 256).alias("fingerprint"))
+
+
+def paired_source(jobs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """job_id, path: the readable file that goes with jobs (job_id, output, kind): the output, or the copy of an imported PDF.
+
+    artifacts: job_id, name, path, kind; the kind that the sound's own artifact
+    notes is believed before the job's. Null where there is none.
+    """
+    noted = artifacts.where("name = 'audio_source'").groupBy("job_id").agg(F.max("kind").alias("_noted"))
+    copies = artifacts.where("name = 'source_pdf'").groupBy("job_id").agg(F.min("path").alias("_copy"))
+    rows = jobs.join(noted, "job_id", "left").join(copies, "job_id", "left")
+    kind = F.coalesce("_noted", "kind")
+    return rows.select("job_id", F.coalesce(F.nullif("output", F.lit("")), F.when(kind == "czech_pdf", F.col("_copy"))).alias("path"))
